@@ -11,7 +11,6 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +63,13 @@ def _blocks(x: np.ndarray) -> np.ndarray:
     return np.pad(x, (0, rows * BLOCK - len(x))).reshape(rows, BLOCK)
 
 
-@lru_cache(maxsize=256)
+_KNOWN: dict = {}
+
+
 def _responses(step: tuple, gain: tuple):
     """Block matrices of a recurrence: own-block response, closing state, carried response."""
+    if (step, gain) in _KNOWN:
+        return _KNOWN[step, gain]
     m = len(gain)
     powers = np.empty((BLOCK + 1, m, m))
     powers[0] = np.eye(m)
@@ -75,7 +78,8 @@ def _responses(step: tuple, gain: tuple):
     impulse = powers[:BLOCK] @ np.array(gain)
     lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
     response = np.where(lag >= 0, impulse[np.maximum(lag, 0), 0], 0.0)
-    return response.T.copy(), impulse[::-1].copy(), powers[1:, 0, :].T.copy(), powers[BLOCK]
+    _KNOWN[step, gain] = response.T.copy(), impulse[::-1].copy(), powers[1:, 0, :].T.copy(), powers[BLOCK]
+    return _KNOWN[step, gain]
 
 
 def linear_filter(x: np.ndarray, step: tuple, gain: tuple, start: tuple) -> np.ndarray:

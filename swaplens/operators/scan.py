@@ -142,7 +142,7 @@ def trade_columns(fee_bps: float | Column, sized: bool = True) -> dict[str, Colu
     return {"gross": gross * scale, "ret": (gross - fee) * scale}
 
 
-def extract(df: DataFrame, signals: Sequence[Column], runs: Sequence[Run], fee_bps: float = 7.0,
+def extract(df: DataFrame, signals: Sequence[Column], runs: Sequence[Run], fee_bps: float | Column = 7.0,
             keys: Sequence[str] = FOLD_KEYS, up: Sequence[Column] = (), down: Sequence[Column] = (),
             size: Sequence[Column] = ()) -> DataFrame:
     """All trades of all runs on every fold: one row per closed position, tagged ``combo``."""

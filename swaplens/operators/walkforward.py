@@ -32,6 +32,7 @@ class Strategy:
     ``sizer``   multiplier column read on the entry bar; NULL means 1
     ``hold``    pair of columns with the probability of holding a long / a short
     ``scorers`` functions that add the score columns those expressions use
+    ``fee_bps`` round-trip cost, one number or one per market
     """
 
     signal: SignalRule = JMA_CROSS
@@ -42,7 +43,7 @@ class Strategy:
     sizer: Column | None = None
     hold: tuple[Column, Column] | None = None
     scorers: tuple[Scorer, ...] = ()
-    fee_bps: float = 7.0
+    fee_bps: float | Mapping[str, float] = 7.0
     lag: int = 0
     fill: str = "stop"
     exit_args: Mapping[str, float] = field(default_factory=dict)
@@ -54,7 +55,7 @@ class Strategy:
         return scan.EXITS[self.exit](fill=self.fill, **{**self.exit_args, **params})
 
 
-def build_strategy(signal: SignalRule, exit: str, signal_grid: Mapping, exit_grid: Mapping, cost_bps: float,
+def build_strategy(signal: SignalRule, exit: str, signal_grid: Mapping, exit_grid: Mapping, cost_bps,
                    fill: str = "close", lag: int = 0) -> Strategy:
     """A control strategy from a configuration entry."""
     return Strategy(signal=replace(signal, grid=dict(signal_grid)), exit=exit, exit_grid=dict(exit_grid),
@@ -97,7 +98,7 @@ def default_trades(bars: DataFrame, s: Strategy) -> DataFrame:
     frame, cols = _signals(frame, plain, FOLD_KEYS, False, "d")
     up, down = ([plain.hold[0]], [plain.hold[1]]) if plain.hold else ((), ())
     run = scan.Run(0, 0, plain.exit_rule(), 0 if plain.hold else None)
-    return scan.extract(frame, cols, [run], plain.fee_bps, up=up, down=down).drop("combo")
+    return scan.extract(frame, cols, [run], F.expr(fee_sql(plain.fee_bps)), up=up, down=down).drop("combo")
 
 
 def walk_forward(bars: DataFrame, strategies: Mapping[str, Strategy], n_splits: int = 5,
@@ -136,15 +137,22 @@ def walk_forward(bars: DataFrame, strategies: Mapping[str, Strategy], n_splits:
     return _select_and_trade(packed.withColumn("plan", F.explode(F.expr(f"array({', '.join(plans)})"))))
 
 
-def _plan_sql(name: str, need: int, fee_bps: float, runs: Sequence[scan.Run]) -> str:
+def fee_sql(fee_bps: float | Mapping[str, float]) -> str:
+    if not isinstance(fee_bps, Mapping):
+        return f"{float(fee_bps)!r}D"
+    cases = " ".join(f"WHEN '{m}' THEN {float(v)!r}D" for m, v in fee_bps.items())
+    return f"CASE market {cases} END"
+
+
+def _plan_sql(name: str, need: int, fee_bps, runs: Sequence[scan.Run]) -> str:
     quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    return (f"named_struct('variant', '{quoted}', 'need', {max(need, 1)}, 'fee', {float(fee_bps)!r}D, "
+    return (f"named_struct('variant', '{quoted}', 'need', {max(need, 1)}, 'fee', {fee_sql(fee_bps)}, "
             f"'runs', {scan.runs_sql(runs)})")
 
 
 def _select_and_trade(rows: DataFrame) -> DataFrame:
     """Choose per fold, then read the next fold's trades of the chosen combination."""
-    rows = rows.select(*FOLD_KEYS, "plan.variant", "plan.need", "plan.fee", scan.run_column("plan.runs").alias("runs"))
+    rows = rows.select(*FOLD_KEYS, "last_idx", "plan.variant", "plan.need", "plan.fee", scan.run_column("plan.runs").alias("runs"))
     mean = ("aggregate(r.trades, 0D, (a, t) -> a + (t.direction * (t.exit_price - t.entry_price) / t.entry_price "
             "- fee / 1e4D)) / size(r.trades)")
     best = F.expr(f"array_max(transform(filter(runs, r -> size(r.trades) >= need), "
@@ -152,11 +160,13 @@ def _select_and_trade(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("best", best)
     before = F.lag("best").over(Window.partitionBy(*KEYS, "variant").orderBy("fold"))
     rows = rows.withColumn("chosen", before).where(F.col("chosen").isNotNull())
-    rows = rows.select(*KEYS, "variant", (F.col("fold") - 1).alias("fold"), "fee",
+    start = F.col("fold") * (F.col("last_idx") + 1)
+    rows = rows.select(*KEYS, "variant", (F.col("fold") - 1).alias("fold"), start.alias("start"), "fee",
                        (-F.col("chosen.rank")).alias("combo"), F.col("chosen.mean").alias("is_mean_ret"),
                        F.explode(F.expr("runs[-chosen.rank].trades")).alias("t"))
-    return (rows.select(*KEYS, "variant", "fold", "combo", "is_mean_ret", "fee", "t.*")
-            .withColumns(scan.trade_columns(F.col("fee"))).drop("fee"))
+    rows = rows.select(*KEYS, "variant", "fold", "combo", "is_mean_ret", "fee", "start", "t.*").withColumns({
+        "entry_pos": F.col("start") + F.col("entry_i"), "exit_pos": F.col("start") + F.col("exit_i")})
+    return rows.withColumns(scan.trade_columns(F.col("fee"))).drop("fee", "start")
 
 
 def never_traded(trades: DataFrame, control: str) -> bool:
