@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, by_time, is_true, ratio
+from ..functions.columns import KEYS, by_time, is_true, ratio, whole
 
 PRICES = ("open", "high", "low", "close")
 
@@ -93,7 +93,7 @@ def clean(raw: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
 
 
 def enough_history(bars: DataFrame, min_rows: int) -> DataFrame:
-    counted = bars.withColumn("_n", F.count(F.lit(1)).over(by_time(KEYS).rowsBetween(-(2 ** 31), 2 ** 31 - 1)))
+    counted = bars.withColumn("_n", F.count(F.lit(1)).over(whole(KEYS)))
     return counted.where(F.col("_n") >= min_rows).drop("_n")
 
 

@@ -7,8 +7,6 @@ those of a leaf-wise library; everything downstream only needs a score column.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -78,10 +76,10 @@ class ProbModel:
     def fit(self, train: DataFrame) -> "ProbModel":
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            trees = GBTClassifier(featuresCol="_std", labelCol="label", weightCol="weight", predictionCol="_pred", **self.params)
+            trees.setProbabilityCol("_prob").setRawPredictionCol("_margin")
             stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="_raw", handleInvalid="keep"),
-                      StandardScaler(inputCol="_raw", outputCol="_std", withMean=True),
-                      GBTClassifier(featuresCol="_std", labelCol="label", weightCol="weight", predictionCol="_pred",
-                                    probabilityCol="_prob", rawPredictionCol="_margin", **self.params)]
+                      StandardScaler(inputCol="_raw", outputCol="_std", withMean=True), trees]
             self.model = Pipeline(stages=stages).fit(with_class_weight(train))
         finally:
             train.unpersist()
@@ -96,6 +94,3 @@ class ProbModel:
         p = F.when(features_known(), vector_to_array("_prob")[1])
         return scored.select(*kept, p.alias(out))
 
-
-def model_params(overrides: Mapping | None) -> dict:
-    return dict(overrides or {})

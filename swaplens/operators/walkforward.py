@@ -86,8 +86,8 @@ def _signals(frame: DataFrame, s: Strategy, keys, grids: bool, tag: str) -> tupl
     cols = []
     for k, p in enumerate(s.signal.combos() if grids else [{}]):
         raw = f"_s{tag}_{k}"
-        frame = s.signal.add(frame, keys, raw, **p)
-        cols.append(gated(F.col(raw), s.gate, s.lag, keys))
+        frame = s.signal.add(frame, keys, raw, **p).withColumn(raw, gated(F.col(raw), s.gate, s.lag, keys))
+        cols.append(F.col(raw))
     return frame, cols
 
 
