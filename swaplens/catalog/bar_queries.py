@@ -45,7 +45,7 @@ moved AS (
   FROM numbered),
 dirty AS (
   SELECT market, symbol, date, 0 AS ordinal, open, high, low, close,
-         CASE WHEN k % 59 = 10 THEN CAST(NULL AS DOUBLE) WHEN k < 100 THEN close * 5e-1 ELSE close END AS adjclose, volume
+         CASE WHEN k % 59 = 10 THEN CAST(NULL AS DOUBLE) WHEN k < 100 THEN close * 4.999137e-1 ELSE close END AS adjclose, volume
   FROM moved
   UNION ALL
   SELECT market, symbol, date, 1 AS ordinal, open, high, low, close * 1001e-3, close * 1001e-3, volume
@@ -209,24 +209,29 @@ def per_bar(name, spec, expr, sql, body=NUM):
 
 
 W = "(PARTITION BY market, symbol ORDER BY date)"
-C = F.col("close")
-per_bar("p1_pct_change", "r1:d r5:d", lambda: {"r1": pct_change(C, KEYS), "r5": pct_change(C, KEYS, 5)},
+
+
+def C():  # noqa: N802 -- reads like the column it stands for
+    return F.col("close")
+
+
+per_bar("p1_pct_change", "r1:d r5:d", lambda: {"r1": pct_change(C(), KEYS), "r5": pct_change(C(), KEYS, 5)},
         f"close / lag(close) OVER {W} - 1 AS r1, close / lag(close, 5) OVER {W} - 1 AS r5")
-per_bar("p2_diff", "move:d", lambda: {"move": change(C, KEYS)}, f"close - lag(close) OVER {W} AS move")
+per_bar("p2_diff", "move:d", lambda: {"move": change(C(), KEYS)}, f"close - lag(close) OVER {W} AS move")
 per_bar("p3_shift", "before:d after:d filled:d",
         lambda: {"before": F.lag("close", 2).over(by_time(KEYS)), "after": F.lead("close", 3).over(by_time(KEYS)),
                  "filled": F.lag("close", 1, 0.0).over(by_time(KEYS))},
         f"lag(close, 2) OVER {W} AS before, lead(close, 3) OVER {W} AS after, lag(close, 1, 0) OVER {W} AS filled")
-per_bar("p4_sign", "side:d", lambda: {"side": F.signum(change(C, KEYS)).cast("int")}, f"sign(close - lag(close) OVER {W}) AS side")
+per_bar("p4_sign", "side:d", lambda: {"side": F.signum(change(C(), KEYS)).cast("int")}, f"sign(close - lag(close) OVER {W}) AS side")
 per_bar("p5_clip_abs_sqrt_where", "kept:d dist:d root:d side:s known:d",
-        lambda: {"kept": clip(change(C, KEYS), 0.0, 1.0), "dist": F.abs(C - F.col("open")), "root": F.sqrt("close"),
-                 "side": F.when(C > F.col("open"), "up").when(C < F.col("open"), "down").otherwise("flat"),
-                 "known": F.coalesce(no_nan(change(C, KEYS)), F.lit(-1.0))},
+        lambda: {"kept": clip(change(C(), KEYS), 0.0, 1.0), "dist": F.abs(C() - F.col("open")), "root": F.sqrt("close"),
+                 "side": F.when(C() > F.col("open"), "up").when(C() < F.col("open"), "down").otherwise("flat"),
+                 "known": F.coalesce(no_nan(change(C(), KEYS)), F.lit(-1.0))},
         f"""CASE WHEN lag(close) OVER {W} IS NULL THEN NULL ELSE least(greatest(close - lag(close) OVER {W}, 0), 1) END AS kept,
         abs(close - open) AS dist, sqrt(close) AS root,
         CASE WHEN close > open THEN 'up' WHEN close < open THEN 'down' ELSE 'flat' END AS side,
         coalesce(close - lag(close) OVER {W}, -1) AS known""")
-per_bar("p6_fmax", "top:d", lambda: {"top": F.greatest(F.col("high") - F.col("low"), change(C, KEYS))},
+per_bar("p6_fmax", "top:d", lambda: {"top": F.greatest(F.col("high") - F.col("low"), change(C(), KEYS))},
         f"greatest(high - low, close - lag(close) OVER {W}) AS top")
 per_bar("p7_dates", "gap:d year:i", lambda: {"gap": F.datediff("date", F.lag("date").over(by_time(KEYS))), "year": F.year("date")},
         f"date_diff('day', lag(date) OVER {W}, date) AS gap, year(date) AS year")
@@ -244,11 +249,11 @@ register("p9_date_window", f"{BAR} close:d", lambda s, d: bars(s, d).where(in_wi
 register("p10_freeze_predicate", f"{BAR} ok:b",
          lambda s, d: bars(s, d).withColumn("ok", labels.resolved_before(SPLIT, 15)), NUM,
          f"SELECT *, date < DATE '{SPLIT}' AND coalesce(lead(date, 15) OVER {W} < DATE '{SPLIT}', false) AS ok FROM num")
-per_bar("p11_normal_cdf", "p:d", lambda: {"p": norm_cdf(F.col("volume") - 2.5 + (C - F.col("open")) / 10)},
+per_bar("p11_normal_cdf", "p:d", lambda: {"p": norm_cdf(F.col("volume") - 2.5 + (C() - F.col("open")) / 10)},
         """(SELECT 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80),
           lambda k: z * power(z * z, k) / exp(lgamma(k + 1.5) + (k + 1) * ln(2) - 0.5 * ln(pi()))))
           FROM (SELECT volume - 2.5 + (close - open) / 10 AS z)) AS p""")
-register("p12_compound", f"{KEY} total:d", lambda s, d: bars(s, d).withColumn("r", pct_change(C, KEYS)).groupBy(*KEYS).agg(
+register("p12_compound", f"{KEY} total:d", lambda s, d: bars(s, d).withColumn("r", pct_change(C(), KEYS)).groupBy(*KEYS).agg(
     compound(F.col("r")).alias("total")), NUM + f"r AS (SELECT *, close / lag(close) OVER {W} AS g FROM num)",
     "SELECT market, symbol, product(g) - 1 AS total FROM r GROUP BY ALL")
 register("p13_calendar_split", "split:t", lambda s, d: calendar_split(bars(s, d)), BARS,
@@ -259,15 +264,15 @@ register("p13_calendar_split", "split:t", lambda s, d: calendar_split(bars(s, d)
 
 def filtered(name, spec, filters, out, cte, sql, fold=False):
     """A recursive filter over whole histories or folds against a row-by-row recursion."""
-    register(name, f"{FBAR} {spec}", lambda s, d: rec.with_filters((chunks if fold else one)(s, d), filters, FOLD_KEYS).withColumns(out),
+    register(name, f"{FBAR} {spec}", lambda s, d: rec.with_filters((chunks if fold else one)(s, d), filters, FOLD_KEYS).withColumns({k: F.col(v) for k, v in out.items()}),
              (FOLDS if fold else ONE) + cte, sql)
 
 
-filtered("i1_ema", "ema:d", [rec.ema(20)], {"ema": F.col("ema_20")}, RECURSION, "SELECT * FROM rf")
-filtered("i2_jma", "fast:d slow:d", [rec.jma(7), rec.jma(21)], {"fast": F.col("jma_7"), "slow": F.col("jma_21")},
+filtered("i1_ema", "ema:d", [rec.ema(20)], {"ema": "ema_20"}, RECURSION, "SELECT * FROM rf")
+filtered("i2_jma", "fast:d slow:d", [rec.jma(7), rec.jma(21)], {"fast": "jma_7", "slow": "jma_21"},
          jma_sql("j7", 7) + jma_sql("j21", 21),
          "SELECT a.market, a.symbol, a.fold, a.idx, a.jm AS fast, b.jm AS slow FROM j7 a JOIN j21 b USING (market, symbol, fold, idx)")
-filtered("i6_rsi", "rsi:d", [rec.rsi(14)], {"rsi": F.col("rsi_14")}, rsi_sql("rs", 14), "SELECT * FROM rs")
+filtered("i6_rsi", "rsi:d", [rec.rsi(14)], {"rsi": "rsi_14"}, rsi_sql("rs", 14), "SELECT * FROM rs")
 filtered("i7_macd_histogram", "macd_hist:d", [rec.macd_hist()], {}, RECURSION, "SELECT * FROM rf")
 filtered("i8_kama", "kama:d", [rec.kama()], {}, RECURSION, "SELECT * FROM rf")
 register("i3_true_range", f"{FBAR} true_range:d", lambda s, d: ind.with_true_range(chunks(s, d), FOLD_KEYS), FOLDS + ATR,
@@ -277,18 +282,18 @@ register("i5_adx", f"{FBAR} adx:d", lambda s, d: ind.with_adx(chunks(s, d), FOLD
 register("i9_historical_volatility", f"{BAR} hist_vol:d", lambda s, d: ind.with_historical_volatility(bars(s, d)), ONE + ATR,
          f"SELECT *, CASE WHEN count(r) OVER {back(19)} >= 20 THEN stddev_samp(r) OVER {back(19)} * sqrt(252) END AS hist_vol FROM fa")
 register("i10_rolling_zscore", f"{BAR} zscore:d",
-         lambda s, d: ind.with_zscore(bars(s, d), pct_change(C, KEYS), KEYS), ONE + ATR + ADX, "SELECT *, z AS zscore FROM fd")
+         lambda s, d: ind.with_zscore(bars(s, d), pct_change(C(), KEYS), KEYS), ONE + ATR + ADX, "SELECT *, z AS zscore FROM fd")
 R2 = f"({PART} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 register("i11_trend_r2", f"{BAR} backward_r2:d", lambda s, d: ind.with_trend_r2(bars(s, d)), ONE,
          f"SELECT *, CASE WHEN count(close) OVER {R2} >= 20 THEN regr_r2(close, CAST(idx AS DOUBLE)) OVER {R2} END AS backward_r2 FROM fr")
-register("i12_sma", f"{BAR} sma50:d sma200:d", lambda s, d: bars(s, d).withColumns({"sma50": ind.sma(C, 50), "sma200": ind.sma(C, 200)}),
+register("i12_sma", f"{BAR} sma50:d sma200:d", lambda s, d: bars(s, d).withColumns({"sma50": ind.sma(C(), 50), "sma200": ind.sma(C(), 200)}),
          ONE, f"SELECT *, CASE WHEN idx >= 49 THEN avg(close) OVER {back(49)} END AS sma50, "
               f"CASE WHEN idx >= 199 THEN avg(close) OVER {back(199)} END AS sma200 FROM fr")
 register("i13_channel", f"{BAR} hi:d lo:d", lambda s, d: bars(s, d).withColumns({"hi": ind.channel_high(20), "lo": ind.channel_low(20)}),
          ONE, f"SELECT *, CASE WHEN idx >= 20 THEN max(high) OVER {R2} END AS hi, CASE WHEN idx >= 20 THEN min(low) OVER {R2} END AS lo FROM fr")
 UP = f"({PART} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 register("i14_equity_drawdown", f"{BAR} equity:d drawdown:d", lambda s, d: ind.with_equity(
-    bars(s, d).withColumn("r", F.coalesce(pct_change(C, KEYS), F.lit(0.0))), "r", KEYS), ONE,
+    bars(s, d).withColumn("r", F.coalesce(pct_change(C(), KEYS), F.lit(0.0))), "r", KEYS), ONE,
     f"SELECT *, close / first_value(close) OVER {UP} AS equity, close / max(close) OVER {UP} - 1 AS drawdown FROM fr")
 
 
@@ -345,7 +350,7 @@ def cross_sql(src: str, fast: str, slow: str) -> str:
             f"WHEN {fast} < {slow} AND lag({fast}) OVER {w} >= lag({slow}) OVER {w} THEN -1 ELSE 0 END AS signal FROM {src}")
 
 
-signal("g1_crossover_close_sma", signals.SignalRule("x", lambda df, keys, out: signals.crossover(df, C, ind.sma(C, 20, keys), keys, out)),
+signal("g1_crossover_close_sma", signals.SignalRule("x", lambda df, keys, out: signals.crossover(df, C(), ind.sma(C(), 20, keys), keys, out)),
        {}, f"a AS (SELECT *, CASE WHEN idx >= 19 THEN avg(close) OVER {back(19)} END AS m FROM fr)", cross_sql("a", "close", "m"))
 signal("g2_jma_cross", signals.JMA_CROSS, {}, jma_sql("j7", 7) + jma_sql("j21", 21) +
        "a AS (SELECT x.market, x.symbol, x.fold, x.idx, x.jm AS f, y.jm AS s FROM j7 x JOIN j21 y USING (market, symbol, fold, idx))",

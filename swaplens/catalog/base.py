@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
+from ..session import cut_lineage
 from ..sources import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,10 +51,10 @@ _shared: dict = {}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table several queries of one session start from, computed once (memory and disk)."""
-    key = (id(spark), sf_dir, name)
+    """A table several queries of one session start from, written once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _shared:
-        _shared[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _shared[key] = cut_lineage(build())
     return _shared[key]
 
 

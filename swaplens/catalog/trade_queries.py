@@ -166,25 +166,30 @@ def frame(spark, d):
     return df
 
 
-DON10 = F.col("don10")
-scanned("x1_scan_close_fill", lambda s, d: scan.trades_of(frame(s, d), DON10, scan.ExitRule(1.0, at_stop=False), 7.0),
+
+
+def don10():
+    return F.col("don10")
+
+
+scanned("x1_scan_close_fill", lambda s, d: scan.trades_of(frame(s, d), don10(), scan.ExitRule(1.0, at_stop=False), 7.0),
         [run_sql("v", 0, "don10", 1.0, fee=7.0)])
-scanned("x2_bracket_exit", lambda s, d: scan.trades_of(frame(s, d), DON10, scan.bracket(1.5, 3.0)),
+scanned("x2_bracket_exit", lambda s, d: scan.trades_of(frame(s, d), don10(), scan.bracket(1.5, 3.0)),
         [run_sql("v", 0, "don10", 1.5, tp=3.0, at_stop=True, fee=7.0)])
-scanned("x3_trailing_exit", lambda s, d: scan.trades_of(frame(s, d), DON10, scan.trailing(1.5, 2.0)),
+scanned("x3_trailing_exit", lambda s, d: scan.trades_of(frame(s, d), don10(), scan.trailing(1.5, 2.0)),
         [run_sql("v", 0, "don10", 1.5, trail=2.0, at_stop=True, fee=7.0)])
-scanned("x4_learned_exit", lambda s, d: scan.extract(frame(s, d), [DON10], [scan.Run(0, 0, scan.learned(3.0, 0.35), 0)],
+scanned("x4_learned_exit", lambda s, d: scan.extract(frame(s, d), [don10()], [scan.Run(0, 0, scan.learned(3.0, 0.35), 0)],
                                                      up=[stand_in()], down=[stand_in(0.0, -1.0)]),
         [run_sql("v", 0, "don10", 3.0, hold=0.35, up=p_sql(), down=p_sql(0.0, -1), at_stop=True, fee=7.0)])
 scanned("x5_trade_returns_whole_history", lambda s, d: default_trades(bars(s, d), DON), [run_sql("v", 0, "don10", 1.5, tp=3.0)], base=ONE)
-scanned("x6_sized_trades", lambda s, d: scan.extract(frame(s, d), [DON10], [scan.Run(0, 0, scan.bracket(), None, 0)],
+scanned("x6_sized_trades", lambda s, d: scan.extract(frame(s, d), [don10()], [scan.Run(0, 0, scan.bracket(), None, 0)],
                                                      size=[components.score_size(stand_in())]),
         [run_sql("v", 0, "don10", 1.5, tp=3.0, at_stop=True, fee=7.0, size=f"2 * {p_sql()}")], spec=f"{TRADE} size:d")
 
 
 def grid_trades(spark, d):
     runs = [scan.Run(2 * i + j, i, scan.bracket(1.0, t, "close")) for i in range(2) for j, t in enumerate((1.5, 2.5))]
-    return scan.extract(frame(spark, d), [F.col("don5"), DON10], runs, 5.0)
+    return scan.extract(frame(spark, d), [F.col("don5"), don10()], runs, 5.0)
 
 
 scanned("x7_parameter_grid", grid_trades, don_runs("v"), spec=f"{TRADE} combo:i")
@@ -194,39 +199,37 @@ WALKED = (f"variant:s {KEY} fold:i combo:i is_mean_ret:d entry_i:i exit_i:i entr
 
 
 def walked(name, strategies, runs, spec=WALKED, final="SELECT * FROM walked", post=lambda df: df):
-    register(name, spec, lambda s, d: post(walk_forward(bars(s, d), strategies, 5, MIN_TRADES)), frame_sql() + scan_sql(runs) + WALK, final)
+    register(name, spec, lambda s, d: post(walk_forward(bars(s, d), strategies(), 5, MIN_TRADES)), frame_sql() + scan_sql(runs) + WALK, final)
 
 
-walked("x9_in_sample_selection", {"sma": SMA, "don": DON}, sma_runs("sma") + don_runs("don"),
+walked("x9_in_sample_selection", lambda: {"sma": SMA, "don": DON}, sma_runs("sma") + don_runs("don"),
        f"variant:s {KEY} fold:i combo:i is_mean_ret:d", "SELECT DISTINCT variant, market, symbol, fold, combo, is_mean_ret FROM walked",
        lambda df: df.select("variant", *KEYS, "fold", "combo", "is_mean_ret").distinct())
-walked("x10_walk_forward", {"sma": SMA, "don": DON}, sma_runs("sma") + don_runs("don"))
-walked("x10_walk_forward_summary", {"control": SMA, "gated": SMA.with_(gate=signals.adx_gate())},
+walked("x10_walk_forward", lambda: {"sma": SMA, "don": DON}, sma_runs("sma") + don_runs("don"))
+walked("x10_walk_forward_summary", lambda: {"control": SMA, "gated": SMA.with_(gate=signals.adx_gate())},
        sma_runs("control") + sma_runs("gated", gate="adx >= 25"), "variant:s market:s trades:i mean_ret:d",
        "SELECT variant, market, count(*) AS trades, avg(ret) AS mean_ret FROM walked GROUP BY ALL",
        lambda df: df.groupBy("variant", "market").agg(F.count(F.lit(1)).alias("trades"), F.avg("ret").alias("mean_ret")))
-walked("x11_all_instruments_tagged", {"don": DON}, don_runs("don"), f"variant:s {KEY} trades:i",
+walked("x11_all_instruments_tagged", lambda: {"don": DON}, don_runs("don"), f"variant:s {KEY} trades:i",
        "SELECT variant, market, symbol, count(*) AS trades FROM walked GROUP BY ALL",
        lambda df: df.groupBy("variant", *KEYS).agg(F.count(F.lit(1)).alias("trades")))
 LAGGED = {"control": DON, "lag": DON.with_(lag=1), "stop_fill": DON.with_(fill="stop")}
-walked("g9_strategy_settings", LAGGED, don_runs("control") + don_runs("lag", lag=1) + don_runs("stop_fill", at_stop=True))
+walked("g9_strategy_settings", lambda: LAGGED, don_runs("control") + don_runs("lag", lag=1) + don_runs("stop_fill", at_stop=True))
 
 # ---- M: decisions over a score ----------------------------------------------------------
 
-GATED = {"rule": DON.with_(gate=signals.adx_gate()), "score": DON.with_(gate=gate())}
-walked("m4_regime_gate_by_score", {"score": GATED["score"]}, don_runs("score", gate=f"{p_sql()} >= 0.5"))
-walked("m5_meta_gate_thresholds", {f"t{k}": DON.with_(gate=gate(0.2, t)) for k, t in (("45", 0.45), ("50", 0.5), ("55", 0.55))},
+walked("m4_regime_gate_by_score", lambda: {"score": DON.with_(gate=gate())}, don_runs("score", gate=f"{p_sql()} >= 0.5"))
+walked("m5_meta_gate_thresholds", lambda: {f"t{k}": DON.with_(gate=gate(0.2, t)) for k, t in (("45", 0.45), ("50", 0.5), ("55", 0.55))},
        [r for k, t in (("45", 0.45), ("50", 0.5), ("55", 0.55)) for r in don_runs(f"t{k}", gate=f"{p_sql(0.2)} >= {t}")])
-walked("m6_position_sizing_by_score", {"sized": SMA.with_(sizer=components.score_size(stand_in(0.2)))},
+walked("m6_position_sizing_by_score", lambda: {"sized": SMA.with_(sizer=components.score_size(stand_in(0.2)))},
        sma_runs("sized", size=f"2 * {p_sql(0.2)}"))
-ENTRY = components.score_rule(stand_in(0.3), stand_in(0.3, -1.0), 0.6)
-walked("m7_entry_by_score", {"entry": DON.with_(signal=ENTRY)},
+walked("m7_entry_by_score", lambda: {"entry": DON.with_(signal=components.score_rule(stand_in(0.3), stand_in(0.3, -1.0), 0.6))},
        [run_sql("entry", j, f"CASE WHEN coalesce({p_sql(0.3)}, -1) >= 0.6 AND coalesce({p_sql(0.3)}, -1) > coalesce({p_sql(0.3, -1)}, -1) THEN 1 "
                 f"WHEN coalesce({p_sql(0.3, -1)}, -1) >= 0.6 AND coalesce({p_sql(0.3, -1)}, -1) > coalesce({p_sql(0.3)}, -1) THEN -1 ELSE 0 END",
                 1.0, tp=t, strategy="don") for j, t in enumerate((1.5, 2.5))])
-walked("m8_exit_by_score", {"exit": exit_by_score(DON)}, learned_runs("exit", "don"))
-walked("m9_rule_gate", {"rule": GATED["rule"]}, don_runs("rule", gate="adx >= 25"))
-walked("m10_combined_decisions", {"all": exit_by_score(SMA.with_(gate=gate(), sizer=components.score_size(stand_in(0.2))))},
+walked("m8_exit_by_score", lambda: {"exit": exit_by_score(DON)}, learned_runs("exit", "don"))
+walked("m9_rule_gate", lambda: {"rule": DON.with_(gate=signals.adx_gate())}, don_runs("rule", gate="adx >= 25"))
+walked("m10_combined_decisions", lambda: {"all": exit_by_score(SMA.with_(gate=gate(), sizer=components.score_size(stand_in(0.2))))},
        learned_runs("all", gate=f"{p_sql()} >= 0.5", size=f"2 * {p_sql(0.2)}"))
 
 
@@ -286,12 +289,12 @@ register("m13_transfer_model", WALKED, transferred)
 
 # ---- A: valuation and metrics -----------------------------------------------------------
 
-PAIR = {"control": DON, "scored": exit_by_score(DON)}
 PAIR_SQL = frame_sql() + scan_sql(don_runs("control") + learned_runs("scored", "don")) + WALK
 
 
 def pair_trades(spark, d):
-    return shared(spark, d, "pair", lambda: walk_forward(bars(spark, d), PAIR, 5, MIN_TRADES))
+    return shared(spark, d, "pair", lambda: walk_forward(
+        bars(spark, d), {"control": DON, "scored": exit_by_score(DON)}, 5, MIN_TRADES))
 
 
 def daily(spark, d):

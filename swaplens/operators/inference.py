@@ -113,7 +113,7 @@ def block_bootstrap(paired: DataFrame, keys: Sequence[str], block: int = 20, rep
     """
     names = list(keys)
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.sort_by("date")
         x, y = (table.column(c).to_numpy().astype(float) for c in ("a", "b"))
         point = (_point(x) - _point(y)) * np.sqrt(P)
@@ -144,7 +144,7 @@ def day_bootstrap(variant: DataFrame, control: DataFrame, keys: Sequence[str], r
     b = control.select(*keys, "date", F.lit(None).cast("double").alias("a"), F.col("ret").alias("b"))
     both = v.unionByName(b).groupBy(*keys, "date").agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.sort_by("date")
         x, y = (table.column(c).to_numpy().astype(float) for c in ("a", "b"))
         enough = (~np.isnan(x)).sum() > 1 and (~np.isnan(y)).sum() > 1

@@ -17,6 +17,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import KEYS
 from ..functions.indicators import FEATURES, features_known, with_features
+from ..session import cut_lineage
 from .folds import number_bars
 from .labels import resolved_before
 
@@ -26,11 +27,7 @@ SMALL_BUDGET = {**BUDGET, "maxIter": 50, "maxDepth": 3}
 
 
 class TrainingData:
-    """Bars with features over each instrument's full history, computed once for all fits.
-
-    ``frame`` is kept in memory and on disk while models are fitted; lost blocks are
-    recomputed from their lineage.
-    """
+    """Bars with features over each instrument's full history, written once for all fits."""
 
     def __init__(self, bars: DataFrame):
         self.bars = bars
@@ -39,14 +36,9 @@ class TrainingData:
     @property
     def frame(self) -> DataFrame:
         if self._frame is None:
-            self._frame = number_bars(with_features(self.bars, KEYS)).persist(StorageLevel.MEMORY_AND_DISK)
+            self._frame = cut_lineage(number_bars(with_features(self.bars, KEYS)))
         return self._frame
 
-    def release(self) -> None:
-        if self._frame is not None:
-            self._frame.unpersist()
-            self._frame = None
-
 
 def pooled(frame: DataFrame, split, horizon: int, label: str = "label") -> DataFrame:
     """Training rows of all instruments: features known, label resolved before the freeze."""

@@ -107,5 +107,5 @@ def realized_daily(trades: DataFrame, keys: Sequence[str] = ("variant",)) -> Dat
 def market_index(bars: DataFrame, keys: Sequence[str] = ("market",)) -> DataFrame:
     """Equal-weight buy-and-hold return per date: the mean of the instruments' returns, 0 if none."""
     r = ratio(F.col("close"), F.lag("close").over(by_time(KEYS))) - 1.0
-    df = bars.select(*KEYS, "date", r.alias("r"))
+    df = bars.select(*keys, "date", r.alias("r"))
     return df.groupBy(*keys, "date").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("ret"))

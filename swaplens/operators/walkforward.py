@@ -82,20 +82,43 @@ def feature_frame(folds: DataFrame, strategies: Sequence[Strategy], grids: bool
     return _score(frame, strategies)
 
 
-def _signals(frame: DataFrame, s: Strategy, keys, grids: bool, tag: str) -> tuple[DataFrame, list[Column]]:
-    cols = []
-    for k, p in enumerate(s.signal.combos() if grids else [{}]):
-        raw = f"_s{tag}_{k}"
-        frame = s.signal.add(frame, keys, raw, **p).withColumn(raw, gated(F.col(raw), s.gate, s.lag, keys))
-        cols.append(F.col(raw))
-    return frame, cols
+class SignalColumns:
+    """Signal columns of a run, each distinct one computed once however many variants use it."""
+
+    def __init__(self, frame: DataFrame, keys: Sequence[str]):
+        self.frame, self.keys = frame, keys
+        self.raw: dict[tuple, str] = {}
+        self.final: dict[tuple, tuple[str, Column]] = {}
+
+    def add(self, s: Strategy, grids: bool) -> list[str]:
+        """Column names of the gated and delayed signals of a strategy, one per combination."""
+        names = []
+        for p in s.signal.combos() if grids else [{}]:
+            params = tuple(sorted({**s.signal.defaults, **p}.items()))
+            rule = (s.signal.name, s.signal.build, params)
+            if rule not in self.raw:
+                self.raw[rule] = f"_raw{len(self.raw)}"
+                self.frame = s.signal.add(self.frame, self.keys, self.raw[rule], **p)
+            use = (self.raw[rule], None if s.gate is None else id(s.gate), s.lag)
+            if use not in self.final:
+                self.final[use] = (f"_sig{len(self.final)}", gated(F.col(self.raw[rule]), s.gate, s.lag, self.keys))
+            names.append(self.final[use][0])
+        return names
+
+    def build(self) -> tuple[DataFrame, list[Column], dict[str, int]]:
+        """The frame with every signal, the signals in order, and the position of each."""
+        frame = self.frame.withColumns(dict(self.final.values()))
+        order = [name for name, _ in self.final.values()]
+        return frame, [F.col(n) for n in order], {n: i for i, n in enumerate(order)}
 
 
 def default_trades(bars: DataFrame, s: Strategy) -> DataFrame:
     """Trades of the ungated, unsized strategy at its default parameters on the whole history."""
     plain = s.with_(gate=None, sizer=None)
     frame = feature_frame(as_one_fold(bars), [plain], grids=False)
-    frame, cols = _signals(frame, plain, FOLD_KEYS, False, "d")
+    columns = SignalColumns(frame, FOLD_KEYS)
+    columns.add(plain, grids=False)
+    frame, cols, _ = columns.build()
     up, down = ([plain.hold[0]], [plain.hold[1]]) if plain.hold else ((), ())
     run = scan.Run(0, 0, plain.exit_rule(), 0 if plain.hold else None)
     return scan.extract(frame, cols, [run], F.expr(fee_sql(plain.fee_bps)), up=up, down=down).drop("combo")
@@ -110,27 +133,25 @@ def walk_forward(bars: DataFrame, strategies: Mapping[str, Strategy], n_splits:
     Pass ``frame`` to reuse an already computed (and possibly materialised) feature frame.
     """
     frame = feature_frame(chunk(bars, n_splits), list(strategies.values())) if frame is None else frame
-    signals: list[Column] = []
+    columns = SignalColumns(frame, FOLD_KEYS)
+    used = {name: columns.add(s, grids=True) for name, s in strategies.items()}
+    frame, signals, at = columns.build()
     up: list[Column] = []
     down: list[Column] = []
     sizes: list[Column] = []
     plans = []
-    for v, name in enumerate(strategies):
-        s = strategies[name]
-        frame, cols = _signals(frame, s, FOLD_KEYS, True, str(v))
-        pair = None
+    for name, s in strategies.items():
+        pair = size = None
         if s.hold is not None:
             pair = len(up)
             up.append(s.hold[0])
             down.append(s.hold[1])
-        size = None
         if s.sizer is not None:
             size = len(sizes)
             sizes.append(s.sizer)
         exits = [s.exit_rule(**p) for p in combos(s.exit_grid)]
-        runs = [scan.Run(i * len(exits) + j, len(signals) + i, e, pair, size)
-                for i in range(len(cols)) for j, e in enumerate(exits)]
-        signals += cols
+        runs = [scan.Run(i * len(exits) + j, at[col], e, pair, size)
+                for i, col in enumerate(used[name]) for j, e in enumerate(exits)]
         need = min_trades if isinstance(min_trades, int) else min_trades[name]
         plans.append(_plan_sql(name, need, s.fee_bps, runs))
     packed = scan.pack(frame, signals, up, down, sizes)

@@ -19,6 +19,7 @@ from ..operators.inference import block_bootstrap, paired_series, with_adjusted
 from ..operators.metrics import mtm_sharpe, portfolio_metrics, selection_decay, trade_metrics
 from ..operators.regimes import crisis_performance, regime_labels, regime_sharpes
 from ..operators.valuation import (daily_values, equal_weight, market_index, portfolio_sums, roll_up, with_positions)
+from ..session import cut_lineage
 from .study import KIND, MAIN, StudyConfig
 
 TAGS = ("strategy", "variant", "freeze")
@@ -104,7 +105,7 @@ def pairs(p: Portfolios, tests: DataFrame | None = None, multiplier: Column | fl
 
 def run_tests(p: Portfolios, cfg: StudyConfig, scope: str, n_trials: int = len(MAIN)) -> DataFrame:
     """Metrics of both portfolios, their deltas, the block bootstrap and both sets of trade metrics."""
-    series = pairs(p)
+    series = cut_lineage(pairs(p))
     v = portfolio_metrics(series, TEST, n_trials, "v_ret", "v_turnover", "v_exposure", "v_")
     b = portfolio_metrics(series, TEST, 1, "b_ret", "b_turnover", "b_exposure", "b_")
     boot = block_bootstrap(series, TEST, cfg.block_days, cfg.n_boot, 0, cfg.alpha)
@@ -222,8 +223,8 @@ def analyze(trades: DataFrame, bars: DataFrame, cfg: StudyConfig) -> dict[str, D
     """Every result table of the study. Trades and bars should come from written tables."""
     spark = trades.sparkSession
     placed = with_positions(trades, bars)
-    daily = daily_values(placed, bars, cost_column(cfg), TAGS)
-    market_sums = portfolio_sums(daily, [*TAGS, "market"])
+    daily = cut_lineage(daily_values(placed, bars, cost_column(cfg), TAGS))
+    market_sums = cut_lineage(portfolio_sums(daily, [*TAGS, "market"]))
     world_sums = roll_up(market_sums, TAGS)
     mk, gl = portfolios(market_sums, trades, cfg, False), portfolios(world_sums, trades, cfg, True)
     tests = with_adjusted(run_tests(mk, cfg, "market").unionByName(run_tests(gl, cfg, "global")), alpha=cfg.alpha,

@@ -16,6 +16,7 @@ from ..operators.metrics import realized_summary, with_deflated_sharpe
 from ..operators.models import TrainingData
 from ..operators.valuation import realized_daily
 from ..operators.walkforward import Strategy, never_traded, walk_forward
+from ..session import cut_lineage
 from .reports import run_matrix
 
 CONTROL = "Baseline (rule-based)"
@@ -81,9 +82,8 @@ def run_attribution(bars: DataFrame, components: Sequence, split_date, forward_s
     data = TrainingData(bars)
     for c in components:
         fit_once(c, data, split_date, base)
-    data.release()
     strategies = {CONTROL: base, **{c.name: c.apply(base) for c in components}}
-    trades = walk_forward(bars, strategies, n_splits, min_trades)
+    trades = cut_lineage(walk_forward(bars, strategies, n_splits, min_trades))
     if warn:
         never_traded(trades, CONTROL)
     windows = [("holdout", split_date, forward_start)] + ([("forward", forward_start, None)] if forward_start else [])

@@ -15,9 +15,16 @@ from ..functions.columns import ratio
 from ..functions.indicators import TRADING_DAYS
 from ..operators.cleaning import safe_corr
 
-D = F.col("delta_sharpe")
-GAIN = F.col("significant") & (D > 0)
-LOSS = F.col("significant") & (D < 0)
+def _delta() -> Column:
+    return F.col("delta_sharpe")
+
+
+def _gain() -> Column:
+    return F.col("significant") & (_delta() > 0)
+
+
+def _loss() -> Column:
+    return F.col("significant") & (_delta() < 0)
 
 
 def _share(cond: Column) -> Column:
@@ -44,7 +51,7 @@ def recommendation(cells: str = "cells") -> Column:
 def cells(table: DataFrame, keys: Sequence[str] = ("variant", "market")) -> DataFrame:
     """Per variant and market, over windows: any significant gain or loss and the mean difference."""
     return table.where(F.col("kind") != "control").groupBy(*keys).agg(
-        F.min("kind").alias("kind"), F.bool_or(GAIN).alias("sig_gain"), F.bool_or(LOSS).alias("sig_loss"),
+        F.min("kind").alias("kind"), F.bool_or(_gain()).alias("sig_gain"), F.bool_or(_loss()).alias("sig_loss"),
         F.avg("delta_sharpe").alias("mean_delta"))
 
 
@@ -90,8 +97,8 @@ def compare_replication(original: DataFrame, rerun: DataFrame, variant_names: di
 
     variant = F.when(F.col("component").isin(*by_name), renamed(F.col("variant"), variant_names)).otherwise(F.col("component"))
     o = original.select(renamed(F.col("market"), market_names).alias("market"), "window", variant.alias("variant"),
-                        D.alias("delta_sharpe_paper"), F.col("significant").alias("significant_paper"))
-    r = rerun.select("market", "window", "variant", D.alias("delta_sharpe_rep"), F.col("significant").alias("significant_rep"))
+                        _delta().alias("delta_sharpe_paper"), F.col("significant").alias("significant_paper"))
+    r = rerun.select("market", "window", "variant", _delta().alias("delta_sharpe_rep"), F.col("significant").alias("significant_rep"))
     return o.join(r, ["market", "window", "variant"]).withColumn(
         "sign_agrees", (F.col("delta_sharpe_paper") > 0) == (F.col("delta_sharpe_rep") > 0))
 
@@ -104,8 +111,8 @@ def trade_inflation(table: DataFrame, variant: str, control: str, keys: Sequence
 
 def headline_counts(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Configurations and significant gains and losses, overall or per key."""
-    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("configs"), F.count_if(GAIN).alias("gains"),
-                                    F.count_if(LOSS).alias("losses"))
+    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("configs"), F.count_if(_gain()).alias("gains"),
+                                    F.count_if(_loss()).alias("losses"))
 
 
 def forest_rows(table: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -121,8 +128,8 @@ def forest_rows(table: DataFrame, order: Sequence[str]) -> DataFrame:
 def significance_counts(tests: DataFrame, keys: Sequence[str] = ("family",), alpha: float = 0.05) -> DataFrame:
     """Tests, significant gains and losses, positive share, and raw and Holm counts."""
     return tests.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("tests"), F.count_if(GAIN).alias("gains"), F.count_if(LOSS).alias("losses"),
-        _share(D > 0).alias("positive_share"), F.count_if(F.col("p_value") < alpha).alias("raw_significant"),
+        F.count(F.lit(1)).alias("tests"), F.count_if(_gain()).alias("gains"), F.count_if(_loss()).alias("losses"),
+        _share(_delta() > 0).alias("positive_share"), F.count_if(F.col("p_value") < alpha).alias("raw_significant"),
         F.count_if(F.col("p_holm") < alpha).alias("holm_significant"))
 
 
@@ -130,24 +137,24 @@ def component_summary(market_tests: DataFrame, reversion: str = "rsi2_reversion"
     """Per component: medians and counts, split into the reversion strategy and the others."""
     rev = F.col("strategy") == reversion
     return market_tests.groupBy("component").agg(
-        F.count(F.lit(1)).alias("tests"), _share(D > 0).alias("positive_share"), F.count_if(GAIN).alias("gains"),
-        F.count_if(LOSS).alias("losses"), F.median("delta_sharpe").alias("median"),
-        F.count_if(GAIN & rev).alias("gains_reversion"), F.count_if(LOSS & rev).alias("losses_reversion"),
-        F.median(F.when(~rev, D)).alias("median_trend"), F.median(F.when(rev, D)).alias("median_reversion"),
+        F.count(F.lit(1)).alias("tests"), _share(_delta() > 0).alias("positive_share"), F.count_if(_gain()).alias("gains"),
+        F.count_if(_loss()).alias("losses"), F.median("delta_sharpe").alias("median"),
+        F.count_if(_gain() & rev).alias("gains_reversion"), F.count_if(_loss() & rev).alias("losses_reversion"),
+        F.median(F.when(~rev, _delta())).alias("median_trend"), F.median(F.when(rev, _delta())).alias("median_reversion"),
         F.median(F.col("v_turnover") - F.col("b_turnover")).alias("median_turnover_change"),
         (F.median("v_turnover") - F.median("b_turnover")).alias("turnover_median_change"))
 
 
 def global_summary(global_tests: DataFrame) -> DataFrame:
     return global_tests.groupBy("component").agg(
-        F.count(F.lit(1)).alias("tests"), F.median("delta_sharpe").alias("median"), F.count_if(D > 0).alias("positive"),
+        F.count(F.lit(1)).alias("tests"), F.median("delta_sharpe").alias("median"), F.count_if(_delta() > 0).alias("positive"),
         F.count_if(F.col("delta_max_drawdown") > 0).alias("shallower"),
         F.median(F.col("v_exposure") - F.col("b_exposure")).alias("median_exposure_change"))
 
 
 def freeze_replication(market_tests: DataFrame, first: str, second: str) -> DataFrame:
     """Sign agreement and correlation over the cells observed at both freeze dates."""
-    one = lambda f: F.avg(F.when(F.col("freeze") == f, D))
+    one = lambda f: F.avg(F.when(F.col("freeze") == f, _delta()))
     both = market_tests.groupBy("component", "strategy", "market").agg(one(first).alias("a"), one(second).alias("b"))
     both = both.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     return both.groupBy("component").agg(
@@ -158,7 +165,7 @@ def freeze_replication(market_tests: DataFrame, first: str, second: str) -> Data
 def strategy_matrix(market_tests: DataFrame, components: Sequence[str]) -> DataFrame:
     """Strategy by component: median difference with significant gains and losses."""
     cell = market_tests.groupBy("strategy", "component").agg(
-        F.median("delta_sharpe").alias("m"), F.count_if(GAIN).alias("g"), F.count_if(LOSS).alias("l"))
+        F.median("delta_sharpe").alias("m"), F.count_if(_gain()).alias("g"), F.count_if(_loss()).alias("l"))
     two = F.bround(F.col("m").cast("decimal(38,18)"), 2)
     text = F.concat(F.when(F.col("m") < 0, "-").otherwise("+"), F.abs(two).cast("string"), F.lit(" ("),
                     F.col("g").cast("string"), F.lit("/"), F.col("l").cast("string"), F.lit(")"))
@@ -168,8 +175,8 @@ def strategy_matrix(market_tests: DataFrame, components: Sequence[str]) -> DataF
 def delta_summary(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Median, range, positive share and significance of the differences per key."""
     return tests.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("tests"), F.median("delta_sharpe").alias("median"), _share(D > 0).alias("positive_share"),
-        F.count_if("significant").alias("significant"), F.count_if(LOSS).alias("losses"),
+        F.count(F.lit(1)).alias("tests"), F.median("delta_sharpe").alias("median"), _share(_delta() > 0).alias("positive_share"),
+        F.count_if("significant").alias("significant"), F.count_if(_loss()).alias("losses"),
         F.min("delta_sharpe").alias("min"), F.max("delta_sharpe").alias("max"))
 
 
@@ -251,8 +258,8 @@ def risk_profile(global_tests: DataFrame) -> DataFrame:
 def transfer_against_own(tests: DataFrame) -> DataFrame:
     """Correlation of the effect of models fitted on other markets with that of the market's own."""
     key = ["strategy", "market", "freeze", "component"]
-    own = tests.where(F.col("family") == "market_main").select(*key, D.alias("own"))
-    other = tests.where(F.col("family") == "market_transfer").select(*key, D.alias("other"))
+    own = tests.where(F.col("family") == "market_main").select(*key, _delta().alias("own"))
+    other = tests.where(F.col("family") == "market_transfer").select(*key, _delta().alias("other"))
     return other.join(own, key).groupBy("component").agg(F.count(F.lit(1)).alias("cells"), safe_corr("own", "other").alias("corr"))
 
 

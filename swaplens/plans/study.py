@@ -168,9 +168,6 @@ def run_study(bars: DataFrame, cfg: StudyConfig) -> tuple[DataFrame, DataFrame]:
             skipped += missed
             if trades is not None:
                 parts.append(trades)
-        own.release()
-        if others is not None:
-            others.release()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

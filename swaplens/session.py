@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -18,3 +20,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once and continue from it.
+
+    Used where many plans start from one costly table. The checkpoint lies in the shared
+    folder the cluster names in ``spark.checkpoint.dir`` and survives the loss of executors;
+    only a session without that setting (a test on one machine) gets a temporary folder.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
