@@ -138,7 +138,8 @@ def manifest(spark, d):
     return cleaning.audit(dirty(spark, d), RULES, universe)
 
 
-register("c8_audit_manifest", f"{MANIFEST} sha256_csv:s", manifest, AUDIT, "SELECT * FROM manifest")
+register("c8_audit_manifest", f"{MANIFEST} has_digest:b", lambda s, d: manifest(s, d).withColumn("has_digest", F.length("sha256_csv") == 64).fillna(
+    {"has_digest": False}), AUDIT, "SELECT *, coalesce(length(sha256_csv) = 64, false) AS has_digest FROM manifest")
 
 REFERENCE_SQL = """
 ref AS (

@@ -152,15 +152,15 @@ bt AS MATERIALIZED (SELECT id, quantile_cont(d, 0.025) AS ci_lo, quantile_cont(d
 pt AS (SELECT id, sqrt(252) * (avg(v_ret) / stddev_samp(v_ret) - avg(b_ret) / stddev_samp(b_ret)) AS delta_sharpe FROM ser GROUP BY id),
 """
 TM = """count(*) AS n_trades, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win_rate, avg(ret) * 1e4 AS mean_trade_bps"""
-TESTS_SQL = SUMS_SQL + metrics_sql("ser", "id", expected_best(7), "mv", "v_ret", "v_tu", "v_ex") + metrics_sql(
-    "ser", "id", 0.0, "mb", "b_ret", "b_tu", "b_ex") + BOOT_SQL + f"""
+TESTS_SQL = SUMS_SQL + metrics_sql("ser", "id", expected_best(7), "xv", "v_ret", "v_tu", "v_ex") + metrics_sql(
+    "ser", "id", 0.0, "xb", "b_ret", "b_tu", "b_ex") + BOOT_SQL + f"""
 tw AS MATERIALIZED (SELECT strategy, x.market, name AS fz, variant, ret FROM (SELECT strategy, variant, fz, entry_time, ret, unnest([market, 'ALL']) AS market FROM stt) x
   JOIN windows w ON (x.fz = 'all' OR x.fz = w.name) AND entry_time >= lo AND entry_time < hi),
 tm AS (SELECT strategy, market, fz, variant, {TM} FROM tw GROUP BY ALL),
 tj AS MATERIALIZED (SELECT t.id, t.scope, t.strategy, t.market, t.fz, t.variant, t.comp, t.scope || '_' || t.fam AS family, {', '.join(
-    f'mv.{c.split(":")[0]} AS v_{c.split(":")[0]}, mb.{c.split(":")[0]} AS b_{c.split(":")[0]}' for c in METRICS.split())},
+    f'xv.{c.split(":")[0]} AS v_{c.split(":")[0]}, xb.{c.split(":")[0]} AS b_{c.split(":")[0]}' for c in METRICS.split())},
     delta_sharpe, ci_lo, ci_hi, p_value, a.n_trades AS v_n_trades, a.win_rate AS v_win_rate, b.n_trades AS b_n_trades
-  FROM tst t JOIN mv ON mv.id = t.id JOIN mb ON mb.id = t.id JOIN bt ON bt.id = t.id JOIN pt ON pt.id = t.id
+  FROM tst t JOIN xv ON xv.id = t.id JOIN xb ON xb.id = t.id JOIN bt ON bt.id = t.id JOIN pt ON pt.id = t.id
   LEFT JOIN tm a ON a.strategy = t.strategy AND a.market = t.market AND a.fz = t.fz AND a.variant = t.variant
   LEFT JOIN tm b ON b.strategy = t.strategy AND b.market = t.market AND b.fz = t.fz AND b.variant = t.control),
 rk AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p_value, id) AS k FROM tj),
@@ -375,7 +375,7 @@ base_rows AS MATERIALIZED (SELECT m0.market, m0.name, m0.variant, n_trades, bps
 {n}_r AS (SELECT d.market, d.name, rep, avg(ret) / stddev_samp(ret) AS s FROM {n}_d d JOIN {n}_p p ON p.market = d.market AND p.name = d.name AND p.i = d.start GROUP BY ALL),
 """ for n, v, k in (("va", "scored", 0), ("vb", "control", 1))) + """
 ci AS (SELECT market, name, quantile_cont(va_r.s - vb_r.s, 0.025) AS ci_lo, quantile_cont(va_r.s - vb_r.s, 0.975) AS ci_hi FROM va_r JOIN vb_r USING (market, name, rep) GROUP BY ALL),
-at AS MATERIALIZED (SELECT a.market, a.name AS "window", a.variant, CASE a.variant WHEN 'control' THEN 'control' ELSE 'replacing' END AS kind, a.n_trades, a.sharpe,
+att AS MATERIALIZED (SELECT a.market, a.name AS "window", a.variant, CASE a.variant WHEN 'control' THEN 'control' ELSE 'replacing' END AS kind, a.n_trades, a.sharpe,
   a.mean_trade_bps, a.total_return, a.max_drawdown, b.sharpe AS baseline_sharpe, a.sharpe - b.sharpe AS delta_sharpe,
   CASE WHEN a.variant = 'scored' THEN ci_lo END AS ci_lo, CASE WHEN a.variant = 'scored' THEN ci_hi END AS ci_hi,
   a.variant = 'scored' AND (ci_lo > 0 OR ci_hi < 0) AS significant
@@ -389,10 +389,10 @@ def at(spark, d):
     return shared(spark, d, "attribution", lambda: attribution(spark, d))
 
 
-register("d7_attribution_table", AT_SPEC, at, AT_SQL, "SELECT * FROM at")
+register("d7_attribution_table", AT_SPEC, at, AT_SQL, "SELECT * FROM att")
 CELL = """
 ce AS MATERIALIZED (SELECT market, variant, any_value(kind) AS kind, bool_or(significant AND delta_sharpe > 0) AS g, bool_or(significant AND delta_sharpe < 0) AS l, avg(delta_sharpe) AS m
-  FROM at WHERE kind <> 'control' GROUP BY ALL),
+  FROM att WHERE kind <> 'control' GROUP BY ALL),
 """
 SAY = """CASE WHEN gain <> '' THEN 'Adopt (significant gain in ' || gain || ')' WHEN loss <> '' AND hope = '' THEN 'Avoid (significant loss in ' || loss || ')'
  WHEN loss <> '' THEN 'Mixed (avoid in ' || loss || '; promising, unreplicated in ' || hope || ')' WHEN hope <> '' THEN 'Worth exploring in ' || hope || ' (unreplicated)'
@@ -409,7 +409,7 @@ register("r3_recommendation", "variant:s recommendation:s", lambda s, d: reports
 
 
 def replicated(spark, d):
-    t = at(spark, d)
+    t = at(spark, d).where("variant = 'scored'")
     original = t.select(F.when(F.col("market") == "M0", "zero").otherwise(F.col("market")).alias("market"), "window",
                         F.when(F.col("variant") == "scored", "Combinations").otherwise(F.col("variant")).alias("component"),
                         F.when(F.col("variant") == "scored", "renamed").otherwise("x").alias("variant"),
@@ -419,13 +419,13 @@ def replicated(spark, d):
 
 register("r4_compare_replication", "market:s window:s variant:s delta_sharpe_paper:d delta_sharpe_rep:d significant_paper:b significant_rep:b sign_agrees:b", replicated, AT_SQL,
          "SELECT market, \"window\", variant, delta_sharpe - 0.1 AS delta_sharpe_paper, delta_sharpe AS delta_sharpe_rep, significant AS significant_paper, "
-         "significant AS significant_rep, (delta_sharpe - 0.1 > 0) = (delta_sharpe > 0) AS sign_agrees FROM at")
+         "significant AS significant_rep, (delta_sharpe - 0.1 > 0) = (delta_sharpe > 0) AS sign_agrees FROM att WHERE variant = 'scored'")
 register("r5_trade_inflation", "market:s window:s ratio:d", lambda s, d: reports.trade_inflation(at(s, d), "scored", "control"), AT_SQL,
-         "SELECT a.market, a.\"window\", a.n_trades / b.n_trades AS ratio FROM at a JOIN at b ON a.market = b.market AND a.\"window\" = b.\"window\" WHERE a.variant = 'scored' AND b.variant = 'control'")
+         "SELECT a.market, a.\"window\", a.n_trades / b.n_trades AS ratio FROM att a JOIN att b ON a.market = b.market AND a.\"window\" = b.\"window\" WHERE a.variant = 'scored' AND b.variant = 'control'")
 register("r24_forest_rows", "market:s window:s variant:s rank:i delta_sharpe:d lo:d hi:d significant:b", lambda s, d: reports.forest_rows(at(s, d), ["scored"]), AT_SQL,
-         "SELECT *, 1 AS rank, ci_lo * sqrt(252) AS lo, ci_hi * sqrt(252) AS hi FROM at WHERE variant = 'scored'")
+         "SELECT *, 1 AS rank, ci_lo * sqrt(252) AS lo, ci_hi * sqrt(252) AS hi FROM att WHERE variant = 'scored'")
 register("r26_headline_counts", "market:s configs:i gains:i losses:i", lambda s, d: reports.headline_counts(at(s, d), ["market"]), AT_SQL,
-         "SELECT market, count(*) AS configs, count(*) FILTER (significant AND delta_sharpe > 0) AS gains, count(*) FILTER (significant AND delta_sharpe < 0) AS losses FROM at GROUP BY market")
+         "SELECT market, count(*) AS configs, count(*) FILTER (significant AND delta_sharpe > 0) AS gains, count(*) FILTER (significant AND delta_sharpe < 0) AS losses FROM att GROUP BY market")
 
 # ---- R: study reports -------------------------------------------------------------------
 
