@@ -77,6 +77,8 @@ def parse_quotes(payloads: DataFrame, text: str = "payload") -> DataFrame:
                    F.col("r.timestamp").alias("ts"), *[q[c].alias(c) for c in BAR_COLUMNS],
                    F.coalesce(adj["adjclose"], q["close"]).alias("adjclose"))
     series = ("open", "high", "low", "close", "adjclose", "volume")
+    # Zipping with a missing array would lose the payload; an empty one is filled with NULL.
+    df = df.withColumns({c: F.coalesce(c, F.array().cast("array<double>")) for c in series})
     rows = df.select(*KEYS, "tz", F.posexplode(F.arrays_zip("ts", *series)).alias("ordinal", "v"))
     # A UTC session: the instant shifted to the exchange's wall clock, then its day.
     day = F.to_date(F.from_utc_timestamp(F.timestamp_seconds("v.ts"), F.col("tz")))
