@@ -44,3 +44,37 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from swaplens.llm.token_files import round_trip
 
     return round_trip(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from swaplens.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), size=3)
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from swaplens.llm.decontamination import contamination
+
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op5_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS l FROM (SELECT item_id, {_FOLDED} AS w FROM benchmark) WHERE len(w) > 0 AND item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM b)),
+sizes AS (SELECT DISTINCT l FROM bw),
+dw AS (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS g
+       FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d JOIN sizes ON l <= len(w))),
+hit AS (SELECT doc_id, i, l, item_id FROM dw JOIN bw USING (g, l)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
