@@ -78,3 +78,26 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
+
+
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from swaplens.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, folder, "documents"), min_words=50)
+
+
+ORACLES["op1_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, len(regexp_extract_all(ls[i], '[^ \t\x0B\f\r]+')) AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+c AS (SELECT doc_id, i, sum(w) OVER p AS till, sum(w) OVER p - w AS since FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+win AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.till - a.since >= 50 GROUP BY ALL
+        UNION
+        SELECT a.doc_id, max(b.i) AS s, a.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i <= a.i AND a.till - b.since >= 50 GROUP BY a.doc_id, a.i),
+t AS (SELECT win.doc_id, s, e, e - s AS n, md5(array_to_string(ls[s:e], chr(10))) AS g FROM win JOIN d ON win.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY n, g ORDER BY doc_id, s) AS k FROM t),
+gone AS (SELECT doc_id, list(DISTINCT i) AS g FROM (SELECT doc_id, unnest(range(s, e + 1)) AS i FROM r WHERE k > 1) GROUP BY doc_id)
+SELECT d.doc_id, array_to_string(list_filter(ls, lambda x, i: NOT coalesce(list_contains(g, i), false)), chr(10)) AS text,
+       len(ls)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+"""
