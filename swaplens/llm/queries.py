@@ -101,3 +101,10 @@ SELECT d.doc_id, array_to_string(list_filter(ls, lambda x, i: NOT coalesce(list_
        len(ls)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
 """
+
+
+@query
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from swaplens.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(table(spark, folder, "documents")))
