@@ -108,3 +108,11 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     from swaplens.llm.secrets import digest, find_secrets
 
     return digest(find_secrets(table(spark, folder, "documents")))
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from swaplens.llm.toxicity import toxicity
+
+    found = toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
