@@ -116,3 +116,10 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     found = toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    from swaplens.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, folder, "pages"))
