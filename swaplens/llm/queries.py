@@ -123,3 +123,10 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     from swaplens.llm.html_text import extract_pages
 
     return extract_pages(table(spark, folder, "pages"))
+
+
+@query
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from swaplens.llm.neighbours import search
+
+    return search(table(spark, folder, "embeddings"), every=50, k=5)
