@@ -1,18 +1,55 @@
-"""A corpus from raw documents: each stage works on all documents that the one before has kept."""
+"""A training corpus from raw documents: each stage works on all documents that the one before has kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from swaplens.llm import decontamination, line_dedup, packing, simhash, toxicity
+from swaplens.llm.common import written
+from swaplens.llm.queries import table, vocabulary
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go from the texts; every document stays, with its new number of characters."""
+    return line_dedup.deduplicated(docs, min_words=50).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that of the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), window=10)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents with their places in sequences of 4096 tokens."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), size=4096, end_id=1)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", cut_repeated_lines),
+    ("near_dedup", keep_one_of_each),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: Tokens and learned scores are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again, from the table `documents` of `sf_dir`."""
-    from swaplens.llm.common import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
