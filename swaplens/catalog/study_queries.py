@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import in_window
 from ..functions.distribution import expected_best
 from ..functions.draws import PRIME, STEP_AGAIN, STEP_ONE, STEP_REP, STEP_SLOT
-from ..operators import components, inference, regimes, signals, valuation
+from ..operators import decisions, inference, regimes, signals, valuation
 from ..operators.walkforward import walk_forward
 from ..plans import analysis, reports
 from ..plans.attribution import attribution_table, windowed
@@ -22,7 +22,7 @@ from .base import register, shared
 from .trade_queries import (DON, IDX_SQL, METRICS, MIN_TRADES, PAIR_SQL, RD_SQL, SMA, WALK, daily_sql, don_runs, exit_by_score,
                             frame_sql, gate, learned_runs, metrics_sql, p_sql, pair_trades, scan_sql, sma_runs, stand_in)
 
-REPS = 100
+REPS = 2000
 COSTS = {"M0": 5.0, "M1": 3.0, "M2": 10.0}
 FREEZES = (Freeze("F1", "1997-07-01", "1999-07-01"), Freeze("F2", "1999-07-01", "2100-01-01"))
 SHIFT = {"F1": 0.0, "F2": 0.2}
@@ -41,7 +41,7 @@ def _plans(base):
     for fz, x in SHIFT.items():
         out |= {f"meta_label|{fz}": base.with_(gate=gate(x)), f"meta_label@transfer|{fz}": base.with_(gate=gate(x + 0.1)),
                 f"meta_label_thr055|{fz}": base.with_(gate=gate(x, 0.55)),
-                f"position_sizing|{fz}": base.with_(sizer=components.score_size(stand_in(x))),
+                f"position_sizing|{fz}": base.with_(sizer=decisions.score_size(stand_in(x))),
                 f"exit|{fz}": exit_by_score(base, x), f"exit@one_day_lag|{fz}": exit_by_score(lag, x)}
     return out
 

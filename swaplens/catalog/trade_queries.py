@@ -8,13 +8,15 @@ model-backed versions are registered without an oracle.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import FOLD_KEYS, KEYS
 from ..functions.distribution import expected_best
 from ..functions.indicators import FEATURES, with_features
-from ..operators import components, metrics, models, scan, signals, valuation
+from ..operators import decisions, metrics, models, scan, signals, valuation
 from ..operators.walkforward import Strategy, default_trades, walk_forward
 from .bar_queries import FEATURE_SQL, SPLIT, W, chunks
 from .bar_queries import FEATURES as FEATURE_SPEC
@@ -35,7 +37,7 @@ def stand_in(shift: float = 0.0, sign: float = 1.0):
 
 
 def gate(shift=0.0, threshold=0.5):
-    return components.score_gate(stand_in(shift), threshold)
+    return decisions.score_gate(stand_in(shift), threshold)
 
 
 def hold(shift=0.0):
@@ -183,7 +185,7 @@ scanned("x4_learned_exit", lambda s, d: scan.extract(frame(s, d), [don10()], [sc
         [run_sql("v", 0, "don10", 3.0, hold=0.35, up=p_sql(), down=p_sql(0.0, -1), at_stop=True, fee=7.0)])
 scanned("x5_trade_returns_whole_history", lambda s, d: default_trades(bars(s, d), DON), [run_sql("v", 0, "don10", 1.5, tp=3.0)], base=ONE)
 scanned("x6_sized_trades", lambda s, d: scan.extract(frame(s, d), [don10()], [scan.Run(0, 0, scan.bracket(), None, 0)],
-                                                     size=[components.score_size(stand_in())]),
+                                                     size=[decisions.score_size(stand_in())]),
         [run_sql("v", 0, "don10", 1.5, tp=3.0, at_stop=True, fee=7.0, size=f"2 * {p_sql()}")], spec=f"{TRADE} size:d")
 
 
@@ -221,20 +223,20 @@ walked("g9_strategy_settings", lambda: LAGGED, don_runs("control") + don_runs("l
 walked("m4_regime_gate_by_score", lambda: {"score": DON.with_(gate=gate())}, don_runs("score", gate=f"{p_sql()} >= 0.5"))
 walked("m5_meta_gate_thresholds", lambda: {f"t{k}": DON.with_(gate=gate(0.2, t)) for k, t in (("45", 0.45), ("50", 0.5), ("55", 0.55))},
        [r for k, t in (("45", 0.45), ("50", 0.5), ("55", 0.55)) for r in don_runs(f"t{k}", gate=f"{p_sql(0.2)} >= {t}")])
-walked("m6_position_sizing_by_score", lambda: {"sized": SMA.with_(sizer=components.score_size(stand_in(0.2)))},
+walked("m6_position_sizing_by_score", lambda: {"sized": SMA.with_(sizer=decisions.score_size(stand_in(0.2)))},
        sma_runs("sized", size=f"2 * {p_sql(0.2)}"))
-walked("m7_entry_by_score", lambda: {"entry": DON.with_(signal=components.score_rule(stand_in(0.3), stand_in(0.3, -1.0), 0.6))},
+walked("m7_entry_by_score", lambda: {"entry": DON.with_(signal=decisions.score_rule(stand_in(0.3), stand_in(0.3, -1.0), 0.6))},
        [run_sql("entry", j, f"CASE WHEN coalesce({p_sql(0.3)}, -1) >= 0.6 AND coalesce({p_sql(0.3)}, -1) > coalesce({p_sql(0.3, -1)}, -1) THEN 1 "
                 f"WHEN coalesce({p_sql(0.3, -1)}, -1) >= 0.6 AND coalesce({p_sql(0.3, -1)}, -1) > coalesce({p_sql(0.3)}, -1) THEN -1 ELSE 0 END",
                 1.0, tp=t, strategy="don") for j, t in enumerate((1.5, 2.5))])
 walked("m8_exit_by_score", lambda: {"exit": exit_by_score(DON)}, learned_runs("exit", "don"))
 walked("m9_rule_gate", lambda: {"rule": DON.with_(gate=signals.adx_gate())}, don_runs("rule", gate="adx >= 25"))
-walked("m10_combined_decisions", lambda: {"all": exit_by_score(SMA.with_(gate=gate(), sizer=components.score_size(stand_in(0.2))))},
+walked("m10_combined_decisions", lambda: {"all": exit_by_score(SMA.with_(gate=gate(), sizer=decisions.score_size(stand_in(0.2))))},
        learned_runs("all", gate=f"{p_sql()} >= 0.5", size=f"2 * {p_sql(0.2)}"))
 
 
 def meta_training(spark, d):
-    return components.meta_labels(models.TrainingData(bars(spark, d)), SPLIT, DON)
+    return decisions.trade_labels(models.TrainingData(bars(spark, d)), SPLIT, DON)
 
 
 register("l6_meta_label_training_set", f"{FEATURE_SPEC} label:i", meta_training,
@@ -247,42 +249,52 @@ sg AS MATERIALIZED (SELECT f.*, CASE WHEN idx >= 10 THEN
          f"SELECT f.*, CAST(d.ret0 > 0 AS INT) AS label FROM done d JOIN feat f ON f.market = d.market AND f.symbol = d.symbol "
          f"AND f.idx = d.entry_i WHERE d.exit_time < DATE '{SPLIT}' AND " + " AND ".join(f"f.{c} IS NOT NULL" for c in FEATURES))
 
-# Model-backed variants; a short budget keeps the check quick.
-QUICK = {"maxIter": 5, "maxDepth": 3}
+# Model-backed variants at the full budget; the registry of a session fits each model once.
+
+def registry(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _registries:
+        whole = models.TrainingData(bars(spark, d))
+        others = {f"all but {m}": whole.where(F.col("market") != m) for m in MARKETS}
+        _registries[key] = decisions.ModelRegistry({"all": whole, **others}, workers=4)
+    return _registries[key]
+
+
+_registries: dict = {}
+MARKETS = ("M0", "M1", "M2")
+MOVE = decisions.regime_filter("move_size")
 
 
 def scored(spark, d):
-    data = models.TrainingData(bars(spark, d))
-    model = models.ProbModel(**QUICK).fit(models.pooled(components.labels.label_move_size(data.frame), SPLIT, 15))
-    return model.score(data.frame, "p")
+    r = registry(spark, d)
+    out, scorer = r.scorer(MOVE.fits("all", SPLIT, DON)[0])
+    return scorer(r.pools["all"].frame).withColumnRenamed(out, "p")
 
 
-def learned_trades(make, strategy=DON):
-    def build(spark, d):
-        b = bars(spark, d)
-        data = models.TrainingData(b)
-        c = components.fit_once(make(), data, SPLIT, strategy)
-        return walk_forward(b, {"learned": c.apply(strategy)}, 5, MIN_TRADES)
-    return build
+def learned_trades(decision, strategy=DON):
+    return lambda spark, d: walk_forward(bars(spark, d), {"learned": decision.learned(strategy, registry(spark, d), "all", SPLIT, strategy)}, 5, MIN_TRADES)
 
 
 register("m2_fit_classifier", f"{KEY} date:t p:d", scored)
 register("m3_score_missing_stays_missing", "scored:i missing:i",
-         lambda s, d: scored(s, d).agg(F.count("p").alias("scored"), F.count_if(F.col("p").isNull()).alias("missing")))
-register("m4_regime_filter_model", WALKED, learned_trades(lambda: components.RegimeFilter("linearity", model_params=QUICK)))
-register("m5_meta_label_model", WALKED, learned_trades(lambda: components.MetaLabel(model_params=QUICK)))
-register("m6_position_sizing_model", WALKED, learned_trades(lambda: components.PositionSizing(components.MetaLabel(model_params=QUICK))))
-register("m7_entry_model", WALKED, learned_trades(lambda: components.Entry(model_params=QUICK)))
-register("m8_exit_model", WALKED, learned_trades(lambda: components.Exit(model_params=QUICK)))
-register("m10_combination_model", WALKED, learned_trades(lambda: components.Combo(
-    components.MetaLabel(model_params=QUICK), components.PositionSizing(), name="combined")))
+         lambda s, d: scored(s, d).agg(F.count("p").alias("scored"), F.count_if(F.col("p").isNull()).alias("missing")),
+         ONE + FEATURE_SQL, f"SELECT count(*) FILTER ({' AND '.join(f'{c} IS NOT NULL' for c in FEATURES)}) AS scored, "
+                            f"count(*) FILTER ({' OR '.join(f'{c} IS NULL' for c in FEATURES)}) AS missing FROM feat")
+register("m4_regime_filter_model", WALKED, learned_trades(decisions.regime_filter("linearity")))
+register("m5_meta_label_model", WALKED, learned_trades(decisions.meta_label()))
+register("m6_position_sizing_model", WALKED, learned_trades(decisions.position_sizing()))
+register("m7_entry_model", WALKED, learned_trades(decisions.learned_entry()))
+register("m8_exit_model", WALKED, learned_trades(decisions.learned_exit()))
+register("m10_combination_model", WALKED, learned_trades(decisions.combined("combined", decisions.meta_label(), decisions.position_sizing())))
 
 
 def transferred(spark, d):
-    b = bars(spark, d)
-    others = models.TrainingData(b.where(F.col("market") != "M0"))
-    c = components.fit_once(components.MetaLabel(model_params=QUICK), others, SPLIT, DON)
-    return walk_forward(b.where(F.col("market") == "M0"), {"meta_label@transfer": c.apply(DON)}, 5, MIN_TRADES)
+    """Each market traded with the model of all others."""
+    r, meta = registry(spark, d), decisions.meta_label()
+    r.fit(f for m in MARKETS for f in meta.fits(f"all but {m}", SPLIT, DON))
+    parts = [walk_forward(bars(spark, d).where(F.col("market") == m), {"meta_label@transfer": meta.learned(DON, r, f"all but {m}", SPLIT, DON)}, 5, MIN_TRADES)
+             for m in MARKETS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 register("m13_transfer_model", WALKED, transferred)
@@ -422,8 +434,8 @@ register("a12_trials_per_component_type", "variant:s trials:i trades:i", lambda
 
 
 def _trials(spark, d):
-    a, b = components.Exit(name="scored"), components.Exit(name="other")
-    n = {"control": 1, **components.trials_per_type([a, b])}
+    a, b = decisions.Exit(name="scored"), decisions.Exit(name="other")
+    n = {"control": 1, **decisions.trials_per_type([a, b])}
     trials = F.lit(None).cast("int")
     for k, v in n.items():
         trials = F.when(F.col("variant") == k, v).otherwise(trials)

@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -21,7 +21,7 @@ from ..session import cut_lineage
 from .folds import number_bars
 from .labels import resolved_before
 
-# The budget every learned decision shares.
+# The budget every learned decision shares, and the small one of two ablations.
 BUDGET = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "minInstancesPerNode": 30, "seed": 42}
 SMALL_BUDGET = {**BUDGET, "maxIter": 50, "maxDepth": 3}
 
@@ -39,6 +39,12 @@ class TrainingData:
             self._frame = cut_lineage(number_bars(with_features(self.bars, KEYS)))
         return self._frame
 
+    def where(self, condition: Column) -> "TrainingData":
+        """The part of the data that a condition on its keys keeps; the features are those already written."""
+        part = TrainingData(self.bars.where(condition))
+        part._frame = self.frame.where(condition)
+        return part
+
 
 def pooled(frame: DataFrame, split, horizon: int, label: str = "label") -> DataFrame:
     """Training rows of all instruments: features known, label resolved before the freeze."""

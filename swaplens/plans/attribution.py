@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import in_window
 from ..functions.distribution import expected_best
-from ..operators.components import fit_once, trials_per_type
+from ..operators.decisions import ModelRegistry, trials_per_family
 from ..operators.inference import day_bootstrap, excludes_zero
 from ..operators.metrics import realized_summary, with_deflated_sharpe
 from ..operators.models import TrainingData
@@ -48,7 +48,7 @@ def attribution_table(trades: DataFrame, control: str, kinds: Mapping[str, str],
     """Score every variant against the control inside each window.
 
     ``trades`` carries ``market, variant, window``. The deflated Sharpe ratio accounts for the
-    number of screened variants of the same component type.
+    number of screened variants of the same type of decision.
     """
     keys = ["market", "window", "variant"]
     names = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(k).alias("kind"),
@@ -71,24 +71,23 @@ def attribution_table(trades: DataFrame, control: str, kinds: Mapping[str, str],
                       "deflated_sharpe", "ci_lo", "ci_hi", excludes_zero().alias("significant"))
 
 
-def run_attribution(bars: DataFrame, components: Sequence, split_date, forward_start=None, base: Strategy | None = None,
+def run_attribution(bars: DataFrame, decisions: Sequence, split_date, forward_start=None, base: Strategy | None = None,
                     n_splits: int = 5, min_trades: int = 10, paired_ci: bool = False, reps: int = 2000,
                     warn: bool = True) -> Attribution:
-    """Fit every component once before ``split_date``, trade all variants, score them by entry date.
+    """Learn every decision once before ``split_date``, trade all variants, score them by entry date.
 
     The variants share one walk-forward plan, so bars are read and shuffled once for all.
     """
     base = base or Strategy()
-    data = TrainingData(bars)
-    for c in components:
-        fit_once(c, data, split_date, base)
-    strategies = {CONTROL: base, **{c.name: c.apply(base) for c in components}}
+    registry = ModelRegistry({"all": TrainingData(bars)}, workers=4)
+    registry.fit(f for d in decisions for f in d.fits("all", split_date, base))
+    strategies = {CONTROL: base, **{d.name: d.learned(base, registry, "all", split_date, base) for d in decisions}}
     trades = cut_lineage(walk_forward(bars, strategies, n_splits, min_trades))
     if warn:
         never_traded(trades, CONTROL)
     windows = [("holdout", split_date, forward_start)] + ([("forward", forward_start, None)] if forward_start else [])
-    kinds = {CONTROL: "control", **{c.name: c.kind for c in components}}
-    table = attribution_table(windowed(trades, windows), CONTROL, kinds, trials_per_type(components), paired_ci, reps)
+    kinds = {CONTROL: "control", **{d.name: d.kind for d in decisions}}
+    table = attribution_table(windowed(trades, windows), CONTROL, kinds, trials_per_family(decisions), paired_ci, reps)
     return Attribution(table, trades)
 
 

@@ -1,7 +1,8 @@
 """Multi-market study: every strategy, market, freeze date and variant.
 
-Rule-based variants of all markets run in one plan. Learned variants need a model per market
-and freeze, so the driver loops over those fits only; each market's variants of both freezes
+Rule-based variants of all markets run in one plan. Learned variants need models per market
+and freeze; one registry holds them all, so that what does not depend on the strategy is fitted
+once for all strategies, and thresholds share their model. Each market's variants of both freezes
 share one walk-forward plan. Variants are named ``<component>``, ``<component>@transfer`` for
 models fitted on every other market, and ``<component>@<setting>`` for execution settings;
 freeze-independent ones carry freeze ``all``.
@@ -11,17 +12,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_window
 from ..operators.cleaning import CleaningRules
-from ..operators.components import RuleGate, fit_once, study_components
+from ..operators.decisions import ModelRegistry, rule_gate, study_decisions
 from ..operators.models import TrainingData
 from ..operators.signals import RULES
 from ..operators.walkforward import build_strategy, walk_forward
+from ..session import cut_lineage
 
+# The keys of the variants and their kinds.
 MAIN = ("rule_adx", "regime_linearity", "meta_label", "position_sizing", "entry", "exit", "best_combined")
 KIND = {"rule_adx": "rule", "regime_linearity": "independent", "meta_label": "narrowing",
         "position_sizing": "narrowing", "entry": "replacing", "exit": "replacing", "best_combined": "combination"}
@@ -85,6 +89,7 @@ class StudyConfig:
     cost_multipliers: Sequence[float] = (0.0, 1.0, 2.0, 4.0)
     trend_sma_days: int = 200
     vol_window_days: int = 20
+    # Names and dates of the crises.
     crises: Sequence[tuple[str, str, str]] = (
         ("GFC", "2008-09-01", "2009-03-31"), ("Euro debt crisis", "2011-07-01", "2011-12-31"),
         ("2015-16 selloff", "2015-08-01", "2016-02-29"), ("COVID crash", "2020-02-19", "2020-04-30"),
@@ -116,36 +121,49 @@ def _tag(trades: DataFrame, strategy: str, freezes: Mapping[str, Freeze | None])
 def rule_variants(bars: DataFrame, cfg: StudyConfig, strategy: str) -> DataFrame:
     """Control, rule gate and the control under each execution setting, for all markets at once."""
     control = cfg.control(strategy)
-    plans = {"baseline|all": control, "rule_adx|all": RuleGate().apply(control)}
+    plans = {"baseline|all": control, "rule_adx|all": rule_gate().on(control, [])}
     for s in cfg.settings:
         if "baseline" in s.variants:
             plans[f"baseline@{s.name}|all"] = cfg.control(strategy, s.fill, s.lag)
     return _tag(walk_forward(bars, plans, cfg.n_splits, cfg.strategies[strategy]["min_trades"]), strategy, {})
 
 
-def learned_variants(bars: DataFrame, cfg: StudyConfig, strategy: str, market: str, own: TrainingData,
-                     others: TrainingData | None) -> tuple[DataFrame | None, list[tuple]]:
-    """All learned variants of one market; a component that cannot be fitted is reported, not raised."""
-    control, plans, skipped = cfg.control(strategy), {}, []
-    costs = cfg.costs()
-    for fz in cfg.freezes:
-        keys = [k for k in (*cfg.main, *cfg.ablations) if k != "rule_adx"]
-        jobs = [(k, c, own, "") for k, c in study_components(keys, cfg.model_params).items()]
-        if others is not None:
-            jobs += [(k, c, others, "@transfer")
-                     for k, c in study_components(cfg.transfer, cfg.model_params).items()]
-        for key, component, data, suffix in jobs:
-            try:
-                # A pool of other markets pays this market's cost in its meta labels.
-                base = control if data is own else cfg.control(strategy, costs=costs[market])
-                fit_once(component, data, fz.split, base)
-            except ValueError as e:
-                skipped.append((strategy, market, f"{key}{suffix}", fz.name, str(e)))
-                continue
-            plans[f"{key}{suffix}|{fz.name}"] = component.apply(control)
-            for s in cfg.settings if not suffix else ():
-                if key in s.variants:
-                    plans[f"{key}@{s.name}|{fz.name}"] = component.apply(cfg.control(strategy, s.fill, s.lag))
+OTHERS = "all but "  # name of the pool of every other market
+
+
+def study_pools(bars: DataFrame, cfg: StudyConfig) -> dict[str, TrainingData]:
+    """One pool per market and one of all other markets, over features that are written once."""
+    whole = TrainingData(bars)
+    pools = {m.name: whole.where(F.col("market") == m.name) for m in cfg.markets}
+    if len(cfg.markets) > 1:
+        pools |= {OTHERS + m.name: whole.where(F.col("market") != m.name) for m in cfg.markets}
+    return pools
+
+
+def _wanted(cfg: StudyConfig, market: str, control, foreign) -> list[tuple[str, str, Freeze, object]]:
+    """(variant, pool, freeze, control for labels) of one market's learned variants."""
+    own = [k for k in (*cfg.main, *cfg.ablations) if k != "rule_adx"]
+    jobs = [(k, market, fz, control) for fz in cfg.freezes for k in own]
+    # A pool of other markets pays this market's cost in its labels of trades.
+    return jobs + [(k, OTHERS + market, fz, foreign) for fz in cfg.freezes for k in cfg.transfer if len(cfg.markets) > 1]
+
+
+def learned_variants(bars: DataFrame, cfg: StudyConfig, strategy: str, market: str,
+                     registry: ModelRegistry) -> tuple[DataFrame | None, list[tuple]]:
+    """All learned variants of one market; one that cannot be fitted is reported, not raised."""
+    control, made, skipped, plans = cfg.control(strategy), study_decisions(cfg.model_params), [], {}
+    jobs = _wanted(cfg, market, control, cfg.control(strategy, costs=cfg.costs()[market]))
+    registry.fit(f for k, pool, fz, base in jobs for f in made[k].fits(pool, fz.split, base))
+    for key, pool, fz, base in jobs:
+        name = key if pool == market else f"{key}@transfer"
+        try:
+            plans[f"{name}|{fz.name}"] = made[key].learned(control, registry, pool, fz.split, base)
+            for s in cfg.settings:
+                if key in s.variants and pool == market:
+                    changed = cfg.control(strategy, s.fill, s.lag)
+                    plans[f"{key}@{s.name}|{fz.name}"] = made[key].learned(changed, registry, pool, fz.split, base)
+        except ValueError as e:
+            skipped.append((strategy, market, name, fz.name, str(e)))
     if not plans:
         return None, skipped
     mine = bars.where(F.col("market") == market)
@@ -153,27 +171,28 @@ def learned_variants(bars: DataFrame, cfg: StudyConfig, strategy: str, market: s
     return _tag(trades, strategy, {f.name: f for f in cfg.freezes}), skipped
 
 
-def run_study(bars: DataFrame, cfg: StudyConfig) -> tuple[DataFrame, DataFrame]:
-    """``(trades, skipped)`` of the whole study.
+def run_study(bars: DataFrame, cfg: StudyConfig, registry: ModelRegistry | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(trades, skipped)`` of the whole study; each branch's trades are written as they are made.
 
-    Write ``trades`` with ``sources.files.write_trades`` before analysing it, so that the
-    analysis starts from a table and not from the long lineage of the study.
+    A learned variant that was fitted but has no trade in its window is in ``skipped`` too. Any
+    object with the methods of ``ModelRegistry`` can stand in for it.
     """
-    parts, skipped = [rule_variants(bars, cfg, s) for s in cfg.strategies], []
-    for m in cfg.markets:
-        own = TrainingData(bars.where(F.col("market") == m.name))
-        others = TrainingData(bars.where(F.col("market") != m.name)) if len(cfg.markets) > 1 else None
-        for s in cfg.strategies:
-            trades, missed = learned_variants(bars, cfg, s, m.name, own, others)
+    registry = registry or ModelRegistry(study_pools(bars, cfg), workers=4)
+    parts, skipped = [], []
+    for s in cfg.strategies:
+        parts.append(cut_lineage(rule_variants(bars, cfg, s)))
+        for m in cfg.markets:
+            trades, missed = learned_variants(bars, cfg, s, m.name, registry)
             skipped += missed
             if trades is not None:
-                parts.append(trades)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                parts.append(cut_lineage(trades))
+                traded = {(r["variant"], r["freeze"]) for r in parts[-1].select("variant", "freeze").distinct().collect()}
+                failed = {(v, f) for _, _, v, f, _ in missed}
+                names = {(k if pool == m.name else f"{k}@transfer", fz.name) for k, pool, fz, _ in _wanted(cfg, m.name, None, None)}
+                skipped += [(s, m.name, v, f, "no trades") for v, f in sorted(names - traded - failed)]
     log = bars.sparkSession.createDataFrame(skipped, "strategy string, market string, variant string, freeze string, "
                                                      "reason string")
-    return out, log
+    return reduce(DataFrame.unionByName, parts), log
 
 
 def run_log(trades: DataFrame, skipped: DataFrame | None = None) -> DataFrame:

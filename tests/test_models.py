@@ -1,16 +1,17 @@
-"""Freeze discipline and composition of learned components (a tiny tree budget)."""
+"""Freeze discipline, sharing and composition of learned decisions (a tiny tree budget)."""
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from swaplens.functions.columns import KEYS
 from swaplens.functions.indicators import FEATURES
-from swaplens.operators import components as C
+from swaplens.operators import decisions as D
 from swaplens.operators.labels import resolved_before
 from swaplens.operators.models import ProbModel, TrainingData
 from swaplens.operators.signals import DONCHIAN
 from swaplens.operators.walkforward import Strategy
 from swaplens.plans.attribution import CONTROL, run_attribution
+from swaplens.plans.study import Freeze, Market, StudyConfig, run_log, run_study
 
 SPLIT = "1999-07-01"
 TINY = {"maxIter": 2, "maxDepth": 2}
@@ -18,17 +19,35 @@ BASE = Strategy(DONCHIAN.__class__("d", DONCHIAN.build, {"lookback": 10}, {"look
                 {"sl_mult": [1.0], "tp_mult": [1.5]}, fill="close")
 
 
-@pytest.mark.parametrize("make", [lambda: C.RegimeFilter("excursion", model_params=TINY), lambda: C.MetaLabel(model_params=TINY)])
-def test_models_never_see_rows_after_the_freeze(bars, make):
+@pytest.mark.parametrize("decision", [D.regime_filter("excursion", budget=TINY), D.meta_label(budget=TINY)])
+def test_models_never_see_rows_after_the_freeze(bars, decision):
     """Distorting everything from the freeze on must not change a single prediction."""
     late = F.col("date") >= F.lit(SPLIT).cast("date")
     noisy = bars.withColumns({c: F.when(late, F.col(c) * (1 + F.abs(F.hash("date", "symbol") % 7) / 10)).otherwise(F.col(c))
                               for c in ("open", "high", "low", "close")})
-    a, b = make().fit(TrainingData(bars), SPLIT, BASE), make().fit(TrainingData(noisy), SPLIT, BASE)
-    probe = TrainingData(bars).frame
-    both = b.model.score(a.model.score(probe, "pa"), "pb")
-    r = both.agg(F.count("pa").alias("n"), F.count_if(F.col("pa") != F.col("pb")).alias("bad")).first()
-    assert r["n"] > 1000 and r["bad"] == 0
+    registry = D.ModelRegistry({"a": TrainingData(bars), "b": TrainingData(noisy)}, workers=2)
+    made = [registry.scorer(*decision.fits(pool, SPLIT, BASE)) for pool in "ab"]
+    both = registry.pools["a"].frame
+    for out, scorer in made:
+        both = scorer(both)
+    (pa, _), (pb, _) = made
+    r = both.agg(F.count(pa).alias("n"), F.count_if(F.col(pa) != F.col(pb)).alias("bad")).first()
+    assert pa != pb and r["n"] > 1000 and r["bad"] == 0
+
+
+def test_models_are_shared_and_depend_on_their_control(bars, monkeypatch):
+    fits = []
+    monkeypatch.setattr(D.ProbModel, "fit", lambda self, train: fits.append(self.params) or self)
+    registry = D.ModelRegistry({"all": TrainingData(bars)})
+    other = BASE.with_(exit_grid={"sl_mult": [2.0]})
+    grid = [*D.attribution_grid(TINY), D.meta_label(0.45, TINY), D.meta_label(0.55, TINY)]
+    for d in grid:
+        d.learned(BASE, registry, "all", SPLIT, BASE)
+    assert len(fits) == 3 + 1 + 2 + 2  # three regimes, one meta label, two sides of entry and of exit
+    registry.fit(D.meta_label(budget=TINY).fits("all", SPLIT, other))
+    assert len(fits) == 9
+    registry.fit(D.regime_filter(budget=TINY).fits("all", SPLIT, other))
+    assert len(fits) == 9
 
 
 def test_straddling_labels_are_excluded(bars):
@@ -36,15 +55,16 @@ def test_straddling_labels_are_excluded(bars):
     assert str(ok.where("ok").agg(F.max("end")).first()[0]) < SPLIT
 
 
-def test_components_replace_one_decision(bars):
-    meta, exit_ = C.MetaLabel(), C.Exit()
-    meta.scorer, exit_.scorers = (lambda df: df), ()
-    sizing = C.PositionSizing(meta)
-    assert meta.apply(BASE).signal is BASE.signal and meta.apply(BASE).gate is not None
-    assert exit_.apply(BASE).gate is None and exit_.apply(BASE).exit == "learned"
-    assert sizing.apply(BASE).gate is None and sizing.apply(BASE).sizer is not None
-    both = C.Combo(exit_, sizing).apply(BASE)
-    assert both.exit == "learned" and both.sizer is not None
+def test_decisions_replace_one_field(bars):
+    p, q = F.col("p"), F.col("q")
+    meta, exit_, sizing = D.meta_label(), D.learned_exit(), D.position_sizing()
+    assert meta.on(BASE, [p]).signal is BASE.signal and meta.on(BASE, [p]).gate is not None
+    assert exit_.on(BASE, [p, q]).gate is None and exit_.on(BASE, [p, q]).exit == "learned"
+    assert sizing.on(BASE, [p]).gate is None and sizing.on(BASE, [p]).sizer is not None
+    both = D.combined("both", exit_, sizing)
+    assert len(both.models) == 3 and both.on(BASE, [p, q, p]).exit == "learned" and both.on(BASE, [p, q, p]).sizer is not None
+    assert D.combined("shared", meta, sizing).models == meta.models
+    assert D.trials_per_family([meta, D.meta_label(0.45).named("low"), exit_]) == {"ML Meta-Labeling": 2, "low": 2, "ML Exit": 1}
 
 
 def test_single_class_is_an_error(spark):
@@ -54,11 +74,47 @@ def test_single_class_is_an_error(spark):
 
 
 def test_attribution_end_to_end(bars):
-    meta = C.MetaLabel(model_params=TINY)
-    res = run_attribution(bars, [meta, C.PositionSizing(meta), C.RuleGate()], SPLIT, "2000-07-01", BASE, min_trades=2, reps=50)
+    res = run_attribution(bars, [D.meta_label(budget=TINY), D.position_sizing(budget=TINY), D.rule_gate()], SPLIT, "2000-07-01", BASE,
+                          min_trades=2, reps=50)
     t = res.table.toPandas()
     assert set(t.window) == {"holdout", "forward"} and len(t) == 2 * 4 * 3
     for _, g in t.groupby(["market", "window"]):
         n = g.set_index("variant").n_trades
         assert n["ML Position Sizing"] == n[CONTROL] >= 1
     assert not t[t.variant == CONTROL].significant.any() and res.matrix().count() == 9
+
+
+def test_study_reports_what_has_no_trades(bars):
+    """Stand-in models: a registry of scores that say yes, never, or cannot be made."""
+    class StandIn:
+        def fit(self, wanted):
+            pass
+
+        def scorer(self, f):
+            if f.spec.target == "linearity":
+                raise ValueError("no rows")
+            p = F.lit(0.0 if f.spec.target == "bracket" else 0.9)
+            return f"p_{f.spec.target}{f.spec.side}", lambda df: df.withColumn(f"p_{f.spec.target}{f.spec.side}", p)
+
+    cfg = StudyConfig(markets=[Market(m, 5.0) for m in ("M0", "M1", "M2")], freezes=[Freeze("F1", "1997-07-01", "2100-01-01")], ablations=(),
+                      strategies={"don": dict(signal="donchian", signal_grid={"lookback": [5, 10]}, exit="trailing",
+                                              exit_grid={"sl_mult": [2.0], "trail_mult": [2.0]}, min_trades=2)})
+    trades, skipped = run_study(bars, cfg, StandIn())
+    why = {(r["market"], r["variant"]): r["reason"] for r in skipped.collect()}
+    assert why == {(m, v): r for m in ("M0", "M1", "M2") for v, r in (("regime_linearity", "no rows"), ("entry", "no trades"))}
+    seen = {r["variant"] for r in trades.select("variant").distinct().collect()}
+    assert seen == {"baseline", "rule_adx", "baseline@optimistic_stop_fill", "baseline@one_day_lag", "meta_label", "position_sizing", "exit",
+                    "best_combined", "exit@optimistic_stop_fill", "exit@one_day_lag", "best_combined@optimistic_stop_fill",
+                    "best_combined@one_day_lag", "meta_label@transfer", "best_combined@transfer"}
+    assert run_log(trades, skipped).count() == 3
+
+
+def test_study_with_models(bars):
+    cfg = StudyConfig(markets=[Market(m, 5.0) for m in ("M0", "M1", "M2")], freezes=[Freeze("F1", "1999-07-01", "2100-01-01")], ablations=(),
+                      main=("rule_adx", "meta_label", "best_combined"), transfer=("meta_label",), settings=(), model_params=TINY,
+                      strategies={"don": dict(signal="donchian", signal_grid={"lookback": [5, 10]}, exit="trailing",
+                                              exit_grid={"sl_mult": [2.0], "trail_mult": [2.0]}, min_trades=2)})
+    trades, skipped = run_study(bars, cfg)
+    seen = {(r["market"], r["variant"]) for r in trades.select("market", "variant").distinct().collect()}
+    missed = {(r["market"], r["variant"]) for r in skipped.collect()}
+    assert {(m, v) for m in ("M0", "M1", "M2") for v in ("baseline", "rule_adx", "meta_label", "best_combined", "meta_label@transfer")} <= seen | missed
