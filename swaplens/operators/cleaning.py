@@ -30,9 +30,8 @@ class CleaningRules:
 def keep_last(raw: DataFrame) -> DataFrame:
     """One row per instrument and day, the one that arrived last; ``copies`` counts the input rows."""
     rest = [c for c in raw.columns if c not in (*KEYS, "date", "ordinal")]
-    last = F.max_by(F.struct(*rest), "ordinal").alias("q")
-    return raw.groupBy(*KEYS, "date").agg(last, F.count(F.lit(1)).alias("copies")).select(
-        *KEYS, "date", "q.*", "copies")
+    last = [F.max_by(c, "ordinal").alias(c) for c in rest]  # one primitive buffer per column keeps a hash aggregate
+    return raw.groupBy(*KEYS, "date").agg(*last, F.count(F.lit(1)).alias("copies"))
 
 
 def unusable(rules: CleaningRules) -> Column:
@@ -107,10 +106,12 @@ def bar_line() -> Column:
     return F.concat_ws(",", F.col("date").cast("string"), *[eight_digits(c) for c in (*PRICES, "volume")])
 
 
-def audit(raw: DataFrame, rules: CleaningRules = CleaningRules(), universe: DataFrame | None = None) -> DataFrame:
+def audit(raw: DataFrame, rules: CleaningRules = CleaningRules(), universe: DataFrame | None = None,
+          errors: DataFrame | None = None) -> DataFrame:
     """Manifest: per instrument the rows lost to each rule, first and last day, digest, status.
 
-    ``universe`` (``market, symbol``) adds planned instruments that have no quotes at all.
+    ``universe`` (``market, symbol``) adds planned instruments that have no quotes at all;
+    ``errors`` (``market, symbol, status``) tells those apart whose payload could not be read.
     The digest covers the ordered lines of one instrument, at most one per calendar day.
     """
     kept = ~F.col("unusable") & ~F.col("bad_tick")
@@ -124,7 +125,11 @@ def audit(raw: DataFrame, rules: CleaningRules = CleaningRules(), universe: Data
     if universe is not None:
         out = universe.select(*KEYS).join(out, list(KEYS), "left")
         status = F.when(F.col("raw_rows").isNull(), "no_raw_file").otherwise(status)
-    out = out.withColumn("status", status)
+    if errors is not None:
+        unread = errors.groupBy(*KEYS).agg(F.min("status").alias("_unread"))
+        out = out.join(unread, list(KEYS), "full" if universe is None else "left")
+        status = F.when(F.col("raw_rows").isNull() & F.col("_unread").isNotNull(), F.col("_unread")).otherwise(status)
+    out = out.withColumn("status", status).drop("_unread")
     ok = F.col("status") == "ok"
     return out.withColumns({c: F.when(ok, F.col(c)) for c in ("first", "last", "sha256_csv")})
 

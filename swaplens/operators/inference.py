@@ -1,8 +1,9 @@
 """Paired comparison, bootstrap confidence intervals and multiple-testing control.
 
-Each bootstrap group is one pair of daily series (at most one row per calendar day). Its
-replicates are computed inside one Arrow group call with numpy from reproducible draws; many
-pairs run in parallel as separate groups.
+Each bootstrap group is one pair of daily series (at most one row per calendar day) and one
+range of replicates, computed inside one Arrow group call with numpy. Draws are pure functions of
+replicate and slot, so the ranges of one pair run in parallel too; groups are dealt by all of
+their keys and their differences meet again in one aggregate.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
-from ..functions.columns import by_instrument
 from ..functions.indicators import TRADING_DAYS as P
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,7 +58,7 @@ def _block_sums(x, length):
     return c[length:length + len(x)] - c[:len(x)]
 
 
-def block_differences(a, b, block, reps, seed):
+def block_differences(a, b, block, reps, seed, first=0):
     """Annualised Sharpe differences of circular-block replicates; the same days for both series.
 
     A replicate is ``ceil(T / block)`` blocks cut to T days, so it needs sums of whole blocks
@@ -67,7 +67,7 @@ def block_differences(a, b, block, reps, seed):
     n = len(a)
     k = -(-n // block)
     rest = n - (k - 1) * block
-    starts = draws.draw_np(np.arange(reps)[:, None], np.arange(k)[None, :], seed, n)
+    starts = draws.draw_np(np.arange(first, first + reps)[:, None], np.arange(k)[None, :], seed, n)
     out = []
     for x in (a, b):
         s1, s2 = 0.0, 0.0
@@ -81,12 +81,12 @@ def block_differences(a, b, block, reps, seed):
     return out[0] - out[1]
 
 
-def day_differences(a, b, reps, seed, paired):
+def day_differences(a, b, reps, seed, paired, first=0):
     """Per-day Sharpe differences of i.i.d. replicates, with shared or separate draws."""
     diffs = np.empty(reps)
     step = max(1, 2_000_000 // max(len(a), len(b)))
     for lo in range(0, reps, step):
-        rep = np.arange(lo, min(lo + step, reps))[:, None]
+        rep = np.arange(first + lo, first + min(lo + step, reps))[:, None]
         parts = []
         for x, s in ((a, seed), (b, seed if paired else seed + 1)):
             y = x[draws.draw_np(rep, np.arange(len(x))[None, :], s, len(x))]
@@ -95,14 +95,42 @@ def day_differences(a, b, reps, seed, paired):
     return diffs
 
 
+RANGE = 500  # replicates one group call computes
+
+
 def _with_keys(keys: Sequence[str], df: DataFrame, extra: str) -> str:
     types = dict(df.dtypes)
     return ", ".join([f"`{k}` {types[k]}" for k in keys] + [extra])
 
 
-def _row(key, **values) -> pa.Table:
-    cols = [pa.array([k.as_py()], k.type) for k in key] + [pa.array([v], pa.float64()) for v in values.values()]
-    return pa.Table.from_arrays(cols, names=[f"k{i}" for i in range(len(key))] + list(values))
+def _differences(df: DataFrame, keys: Sequence[str], reps: int, compute) -> DataFrame:
+    """Rows (keys, point, d): ``compute(a, b, first, n)`` on each range of replicates of each pair.
+
+    Dealt by the full key and the range into the configured number of partitions: the work is in the
+    replicates, not in the bytes by which small partitions would be merged.
+    """
+    names = [*keys, "_first"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(max(reps - 1, 0)), F.lit(RANGE)))).repartition(parts, *names)
+
+    def run(key, table):
+        table = table.sort_by("date")
+        first = key[-1].as_py()
+        point, d = compute(*(table.column(c).to_numpy().astype(float) for c in ("a", "b")), first, min(RANGE, reps - first))
+        row = [pa.array([k.as_py()], k.type) for k in key[:-1]]
+        row += [pa.array([point], pa.float64()), pa.array([d], pa.list_(pa.float64()))]
+        return pa.Table.from_arrays(row, names=[*keys, "point", "d"])
+
+    return ranges.groupBy(*names).applyInArrow(run, _with_keys(keys, df, "point double, d array<double>"))
+
+
+def _interval(differences: DataFrame, keys: Sequence[str], lo: float, hi: float) -> DataFrame:
+    """Percentiles of all differences of a key, and the share on either side of zero; NULL without any."""
+    each = differences.select(*keys, "point", F.explode_outer("d").alias("d"))
+    out = each.groupBy(*keys).agg(F.max("point").alias("delta_sharpe"), F.percentile("d", F.array(F.lit(lo), F.lit(hi))).alias("_q"),
+                                  F.avg((F.col("d") <= 0).cast("double")).alias("_le"), F.avg((F.col("d") >= 0).cast("double")).alias("_ge"))
+    p = F.when(F.col("_le").isNotNull(), F.least(F.lit(1.0), 2 * F.least("_le", "_ge")))
+    return out.select(*keys, "delta_sharpe", F.get("_q", F.lit(0)).alias("ci_lo"), F.get("_q", F.lit(1)).alias("ci_hi"), p.alias("p_value"))
 
 
 def block_bootstrap(paired: DataFrame, keys: Sequence[str], block: int = 20, reps: int = 2000, seed: int = 0,
@@ -111,24 +139,12 @@ def block_bootstrap(paired: DataFrame, keys: Sequence[str], block: int = 20, rep
 
     Interval and p-value are NULL for a series shorter than two blocks.
     """
-    names = list(keys)
-
-    def run(key, table):
-        table = table.sort_by("date")
-        x, y = (table.column(c).to_numpy().astype(float) for c in ("a", "b"))
-        point = (_point(x) - _point(y)) * np.sqrt(P)
-        if len(x) < 2 * block:
-            return _row(key, delta_sharpe=point, ci_lo=None, ci_hi=None, p_value=None).rename_columns(
-                [*names, "delta_sharpe", "ci_lo", "ci_hi", "p_value"])
-        d = block_differences(x, y, block, reps, seed)
-        lo, hi = np.quantile(d, [alpha / 2, 1 - alpha / 2])
-        p = min(1.0, 2 * min((d <= 0).mean(), (d >= 0).mean()))
-        return _row(key, delta_sharpe=point, ci_lo=lo, ci_hi=hi, p_value=p).rename_columns(
-            [*names, "delta_sharpe", "ci_lo", "ci_hi", "p_value"])
+    def compute(x, y, first, n):
+        point = float((_point(x) - _point(y)) * np.sqrt(P))
+        return point, None if len(x) < 2 * block else block_differences(x, y, block, n, seed, first).tolist()
 
     df = paired.select(*keys, "date", F.col(a).alias("a"), F.col(b).alias("b"))
-    schema = _with_keys(keys, df, "delta_sharpe double, ci_lo double, ci_hi double, p_value double")
-    return by_instrument(df, keys).groupBy(*keys).applyInArrow(run, schema)
+    return _interval(_differences(df, keys, reps, compute), keys, alpha / 2, 1 - alpha / 2)
 
 
 def day_bootstrap(variant: DataFrame, control: DataFrame, keys: Sequence[str], reps: int = 2000, ci: float = 0.95,
@@ -139,23 +155,16 @@ def day_bootstrap(variant: DataFrame, control: DataFrame, keys: Sequence[str], r
     the union of their days with 0 where one has none. NULL when a series has fewer than two
     days.
     """
-    names = list(keys)
     v = variant.select(*keys, "date", F.col("ret").alias("a"), F.lit(None).cast("double").alias("b"))
     b = control.select(*keys, "date", F.lit(None).cast("double").alias("a"), F.col("ret").alias("b"))
     both = v.unionByName(b).groupBy(*keys, "date").agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
-    def run(key, table):
-        table = table.sort_by("date")
-        x, y = (table.column(c).to_numpy().astype(float) for c in ("a", "b"))
+    def compute(x, y, first, n):
         enough = (~np.isnan(x)).sum() > 1 and (~np.isnan(y)).sum() > 1
         x, y = (np.nan_to_num(x), np.nan_to_num(y)) if paired else (x[~np.isnan(x)], y[~np.isnan(y)])
-        lo = hi = None
-        if enough:
-            lo, hi = np.quantile(day_differences(x, y, reps, seed, paired), [(1 - ci) / 2, 1 - (1 - ci) / 2])
-        return _row(key, ci_lo=lo, ci_hi=hi).rename_columns([*names, "ci_lo", "ci_hi"])
+        return 0.0, day_differences(x, y, n, seed, paired, first).tolist() if enough else None
 
-    return by_instrument(both, keys).groupBy(*keys).applyInArrow(
-        run, _with_keys(keys, both, "ci_lo double, ci_hi double"))
+    return _interval(_differences(both, keys, reps, compute), keys, (1 - ci) / 2, 1 - (1 - ci) / 2).select(*keys, "ci_lo", "ci_hi")
 
 
 def excludes_zero(lo: str = "ci_lo", hi: str = "ci_hi") -> Column:

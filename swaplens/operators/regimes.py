@@ -61,11 +61,15 @@ def regime_sharpes(paired: DataFrame, labels: DataFrame, keys: Sequence[str], la
 def crisis_performance(paired: DataFrame, crises: DataFrame, keys: Sequence[str], min_days: int = 20) -> DataFrame:
     """Return and drawdown of both series inside named date ranges (both ends included).
 
-    ``crises`` (``crisis, start, end``) is part of the study configuration: a handful of rows,
-    broadcast for the range join.
+    ``crises`` (``crisis, start, end``) is part of the study configuration: a handful of rows, which become
+    literals, so that each day names the ranges it is in and nothing is joined.
     """
-    on = (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end"))
-    df = paired.join(F.broadcast(crises), on).select(*keys, "crisis", "date", "v_ret", "b_ret")
+    ranges = [F.struct(F.lit(c["crisis"]).alias("crisis"), F.lit(c["start"]).cast("date").alias("start"), F.lit(c["end"]).cast("date").alias("end"))
+              for c in crises.select("crisis", "start", "end").collect()]
+    if not ranges:
+        ranges = [F.struct(F.lit("").alias("crisis"), F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end"))]
+    inside = F.filter(F.array(*ranges), lambda c: (F.col("date") >= c["start"]) & (F.col("date") <= c["end"]))
+    df = paired.withColumn("_in", F.explode(inside)).select(*keys, F.col("_in.crisis").alias("crisis"), "date", "v_ret", "b_ret")
     k = [*keys, "crisis"]
     w = running(k)
     df = df.withColumns({f"{s}_eq": F.product(1.0 + F.col(f"{s}_ret")).over(w) for s in "vb"})

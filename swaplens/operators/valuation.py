@@ -48,7 +48,7 @@ def daily_values(trades: DataFrame, bars: DataFrame, cost_bps: Column | float, t
     held = (F.col("pos") > F.col("entry_pos")) & (F.col("pos") <= F.col("exit_pos"))
     last = F.col("pos") == F.col("exit_pos")
     was_held = (F.col("pos") > F.col("entry_pos") + 1) & (F.col("pos") <= F.col("exit_pos") + 1)
-    order = F.struct("entry_pos", "exit_pos")
+    order = F.col("entry_pos").cast("long") * (1 << 31) + F.col("exit_pos")  # one number: the buffers of a hash aggregate are primitive
     per_day = days.groupBy(*tags, *KEYS, "pos").agg(
         F.sum(F.when(held & ~last, F.col("w"))).alias("hold_w"),
         F.sum(F.when(last, F.col("w"))).alias("exit_w"),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+LOCAL = "swaplens.run.dir"  # where a session on one machine keeps its tables
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
@@ -23,14 +28,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate table once and continue from it.
+    """Write an intermediate table once, as Parquet in the run's folder, and continue from it.
+
+    Used where many plans start from one costly table. It survives the loss of executors and
+    keeps column pruning and statistics for its readers. ``release`` removes what a run wrote.
+    """
+    path = f"{run_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A folder of this application below the shared one that ``spark.checkpoint.dir`` names.
 
-    Used where many plans start from one costly table. The checkpoint lies in the shared
-    folder the cluster names in ``spark.checkpoint.dir`` and survives the loss of executors;
-    only a session without that setting (a test on one machine) gets a temporary folder.
+    Only a session on one machine may leave that unset; it gets a temporary folder. On a cluster a
+    local folder would be another one on each executor, so there it is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(LOCAL, None)
+    if base is None:
+        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set(LOCAL, base)
+    return f"{base.rstrip('/')}/swaplens-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that this application's ``cut_lineage`` has written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,18 +29,30 @@ def read_bars(spark: SparkSession, path: str, market: str | None = None, symbols
     """A directory of OHLC CSV files (optionally gzip), one per instrument named by the file.
 
     Header names are matched without case, because some files write ``Open`` and some
-    ``open``; a file without volume gets NULL. Files of one directory share their columns.
-    Raises when there is nothing to read.
+    ``open``; a file without volume gets NULL. Files are grouped by their header line and each
+    group is read with its own columns. Only the files of ``symbols`` are listed. Of rows
+    repeated for a day the last one stays. Raises when there is nothing to read.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    if not raw.columns:
+    pick = spark.read if symbols is None else spark.read.option(
+        "pathGlobFilter", "{" + ",".join(re.sub(r"([\\*?\[\]{},])", r"\\\1", s) + ".*" for s in symbols) + "}")
+    lines = pick.text(path).select(F.regexp_replace(F.lower("value"), r'[\s"\x{FEFF}]', "").alias("header"), F.input_file_name().alias("file"))
+    found = lines.where(F.col("header").rlike("(^|,)date(,|$)") & F.col("header").rlike("(^|,)close(,|$)"))
+    groups = found.groupBy("header").agg(F.sort_array(F.collect_set("file")).alias("files")).orderBy("header").collect()  # file names, as in any listing
+    if not groups:
         raise FileNotFoundError(f"no bar files under {path}")
-    raw = raw.toDF(*[c.lower() for c in raw.columns])
-    have = set(raw.columns)
-    number = lambda c: no_nan(F.expr(f"try_cast(`{c}` AS DOUBLE)")) if c in have else F.lit(None).cast("double")
-    df = raw.select(F.lit(market or "market").alias("market"), F.url_decode(_stem(F.input_file_name())).alias("symbol"),
-                    F.to_date(F.substring("date", 1, 10)).alias("date"), *[number(c).alias(c) for c in BAR_COLUMNS])
-    return by_instrument(df if symbols is None else df.where(F.col("symbol").isin(*symbols)))
+    parts = [_bars_of(spark, [unquote(f) for f in g["files"]], g["header"].split(","), market) for g in groups]
+    rows = by_instrument(reduce(DataFrame.unionByName, parts))
+    return rows.groupBy(*KEYS, "date").agg(*[F.max_by(c, "_order").alias(c) for c in BAR_COLUMNS])
+
+
+def _bars_of(spark: SparkSession, paths: list[str], names: list[str], market: str | None) -> DataFrame:
+    """Files that share the header ``names``, as bars with ``_order``, their place in the files."""
+    raw = spark.read.option("header", True).option("enforceSchema", True).schema(", ".join(f"`c{k}` string" for k in range(len(names)))).csv(paths)
+    at = {n: k for k, n in reversed(list(enumerate(names)))}
+    number = lambda c: no_nan(F.expr(f"try_cast(`c{at[c]}` AS DOUBLE)")) if c in at else F.lit(None).cast("double")
+    return raw.select(F.lit(market or "market").alias("market"), F.url_decode(_stem(F.input_file_name())).alias("symbol"),
+                      F.to_date(F.substring(f"c{at['date']}", 1, 10)).alias("date"), *[number(c).alias(c) for c in BAR_COLUMNS],
+                      F.monotonically_increasing_id().alias("_order"))
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -70,7 +85,7 @@ def parse_quotes(payloads: DataFrame, text: str = "payload") -> DataFrame:
     the close, a missing volume to NULL. A payload without the expected parts yields no rows;
     ``parse_errors`` lists those.
     """
-    res = F.col("j.chart.result")[0]
+    res = F.get(F.col("j.chart.result"), 0)
     df = payloads.select(*KEYS, F.from_json(text, QUOTE_SCHEMA).alias("j")).select(*KEYS, res.alias("r"))
     q, adj = F.get(F.col("r.indicators.quote"), 0), F.get(F.col("r.indicators.adjclose"), 0)
     df = df.select(*KEYS, F.coalesce("r.meta.exchangeTimezoneName", F.lit("UTC")).alias("tz"),

@@ -118,3 +118,91 @@ def test_files_round_trip(spark, bars, tmp_path):
     assert files.read_trades(spark, str(tmp_path / "trades"), "a").first()["ret"] == 1.0
     files.write_csv(t.withColumn("ret", F.lit(1 / 3)), str(tmp_path / "csv"), 8)
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["ret"] == "0.33333333"
+
+
+def test_bootstrap_is_dealt_by_all_keys(spark):
+    """Many global series, one market: their replicates must not meet in one partition, nor in one per market."""
+    days = spark.range(300).select(F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    tests = spark.range(12).select(F.lit("ALL").alias("market"), F.col("id").cast("string").alias("variant"))
+    pairs = tests.crossJoin(days).select("market", "variant", "date", F.lit(0.001).alias("v_ret"), (F.rand(1) / 100).alias("b_ret"))
+
+    def compute(a, b, first, n):
+        return 0.0, [float(first)] * n
+
+    df = pairs.select("market", "variant", "date", F.col("v_ret").alias("a"), F.col("b_ret").alias("b"))
+    out = inference._differences(df, ["market", "variant"], 1200, compute)
+    seen = out.select(F.spark_partition_id().alias("p"), F.get("d", F.lit(0)).alias("first"), F.size("d").alias("n")).collect()
+    assert len({r["p"] for r in seen}) > 1 and len(seen) == 12 * 3
+    assert sorted({(r["first"], r["n"]) for r in seen}) == [(0.0, 500), (500.0, 500), (1000.0, 200)]
+
+
+def test_replicate_ranges_continue_one_sequence():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(0, 0.01, 300), rng.normal(0, 0.01, 300)
+    whole = inference.block_differences(a, b, 20, 90, 5)
+    np.testing.assert_array_equal(np.concatenate([inference.block_differences(a, b, 20, 50, 5), inference.block_differences(a, b, 20, 40, 5, 50)]), whole)
+    whole = inference.day_differences(a, b, 90, 5, False)
+    np.testing.assert_array_equal(np.concatenate([inference.day_differences(a, b, 50, 5, False), inference.day_differences(a, b, 40, 5, False, 50)]), whole)
+
+
+def test_normal_cdf_to_double_precision(spark):
+    import math
+
+    from swaplens.functions.distribution import norm_cdf
+
+    x = [None, float("nan"), -40.0, -9.0, 9.0, *np.linspace(-8.4, 8.4, 201).tolist()]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", norm_cdf(F.col("x")).alias("p")).collect()
+    for r in got:
+        if r["x"] is None:
+            assert r["p"] is None
+        elif math.isnan(r["x"]):
+            assert math.isnan(r["p"])
+        else:
+            assert r["p"] == pytest.approx(0.5 * math.erfc(-r["x"] / math.sqrt(2)), abs=3e-15)
+
+
+def test_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-01,1,2,0.5,1.5,10\n2020-01-01,3,4,2.5,3.5,20\n2020-01-02,x,,1,2,3\n")
+    (tmp_path / "B=X.csv").write_text("Date,Close,Open,High,Low\n2020-01-01,9,5,10,4\n")
+    with gzip.open(tmp_path / "^C1.csv.gz", "wt") as f:
+        f.write("date,low,high,close,open\n2020-01-03,1,4,2,3\n")
+    path = str(tmp_path)
+    got = {(r.symbol, str(r.date)): (r.open, r.high, r.low, r.close, r.volume) for r in files.read_bars(spark, path).collect()}
+    assert got == {("A", "2020-01-01"): (3, 4, 2.5, 3.5, 20), ("A", "2020-01-02"): (None, None, 1, 2, 3), ("B=X", "2020-01-01"): (5, 10, 4, 9, None),
+                   ("^C1", "2020-01-03"): (3, 4, 1, 2, None)}
+    one = files.read_bars(spark, path, "m", ["B=X"])
+    assert [r.symbol for r in one.collect()] == ["B=X"]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.read_bars(spark, str(tmp_path / "empty"))
+
+
+def test_odd_payloads_give_no_rows(spark):
+    rows = [("m", k, p) for k, p in (("e", '{"chart":{"result":[]}}'), ("n", None), ("x", "no json"), ("z", '{"chart":{"result":null}}'))]
+    df = spark.createDataFrame(rows, "market string, symbol string, payload string")
+    assert files.parse_quotes(df).count() == 0
+    errors = files.parse_errors(df)
+    assert errors.count() == 4
+    manifest = cleaning.audit(files.parse_quotes(df), universe=df.select("market", "symbol").union(spark.createDataFrame([("m", "gone")], "a string, b string")), errors=errors)
+    assert {r["symbol"]: r["status"] for r in manifest.collect()} == {**{k: "parse_error: unexpected payload" for k in "enxz"}, "gone": "no_raw_file"}
+
+
+def test_tables_of_a_run_need_a_shared_folder(spark):
+    from swaplens import session
+
+    class Far:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.run_folder(Far)
+    assert session.run_folder(spark).endswith(spark.sparkContext.applicationId)
