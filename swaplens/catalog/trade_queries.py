@@ -75,7 +75,7 @@ def p_sql(shift: float = 0.0, sign: int = 1) -> str:
 
 
 def run_sql(variant, combo, signal, sl, tp="NULL", trail="NULL", hold="NULL", at_stop=False, fee=5.0, gate=None, lag=0,
-            up="NULL", down="NULL", size="1", strategy="sma") -> str:
+            up="NULL", down="NULL", size="1", strategy="sma", held="NULL") -> str:
     """Rows of one run: the gated, delayed signal per bar with the exit setting."""
     sig = signal if gate is None else f"CASE WHEN coalesce({gate}, false) THEN {signal} ELSE 0 END"
     if lag:
@@ -83,7 +83,7 @@ def run_sql(variant, combo, signal, sl, tp="NULL", trail="NULL", hold="NULL", at
     d = lambda x: f"CAST({x} AS DOUBLE)"
     return (f"SELECT market, symbol, fold, idx, last_idx, date, close, atr, '{strategy}' AS strategy, '{variant}' AS variant, "
             f"{combo} AS combo, {sig} AS sig, {d(sl)} AS sl, {d(tp)} AS tp, {d(trail)} AS trail, {d(hold)} AS hold, {at_stop} AS at_stop, "
-            f"{d(fee)} AS fee, {d(up)} AS up, {d(down)} AS down, coalesce({d(size)}, 1.0) AS size FROM sg")
+            f"{d(fee)} AS fee, {d(up)} AS up, {d(down)} AS down, coalesce({d(size)}, 1.0) AS size, CAST({held} AS INT) AS held FROM sg")
 
 
 def sma_runs(variant, **kw):
@@ -120,11 +120,11 @@ scan AS (
          date, idx, fee, last_idx
   FROM (
     SELECT *, CASE WHEN now = 0 THEN NULL WHEN now * close <= new_stop THEN 'stop' WHEN now * close >= goal THEN 'target'
-                   WHEN CASE WHEN now = 1 THEN up ELSE down END < hold THEN 'ml_exit' WHEN idx = last_idx THEN 'eod' END AS why,
+                   WHEN CASE WHEN now = 1 THEN up ELSE down END < hold THEN 'ml_exit' WHEN idx - ei >= held THEN 'time' WHEN idx = last_idx THEN 'eod' END AS why,
            now = 0 AND sig <> 0 AND atr IS NOT NULL AND idx < last_idx AS opens
     FROM (
       SELECT f.market, f.symbol, f.fold, f.strategy, f.variant, f.combo, f.idx, f.date, f.close, f.atr, f.sig, f.sl, f.tp, f.hold, f.at_stop,
-             f.up, f.down, f.size, f.fee, f.last_idx, s.d AS now, s.ei, s.et, s.px, s.ea, s.goal, s.sz,
+             f.up, f.down, f.size, f.held, f.fee, f.last_idx, s.d AS now, s.ei, s.et, s.px, s.ea, s.goal, s.sz,
              CASE WHEN f.trail IS NULL THEN s.stop ELSE greatest(s.stop, s.d * f.close - f.trail * coalesce(f.atr, s.ea)) END AS new_stop
       FROM scan s JOIN runs f ON {on} AND f.idx = s.idx + 1))),
 done AS MATERIALIZED (
@@ -189,6 +189,10 @@ scanned("x6_sized_trades", lambda s, d: scan.extract(frame(s, d), [don10()], [sc
         [run_sql("v", 0, "don10", 1.5, tp=3.0, at_stop=True, fee=7.0, size=f"2 * {p_sql()}")], spec=f"{TRADE} size:d")
 
 
+HELD = DON.with_(exit=lambda bars, fill: scan.holding_time(bars, 2.0, fill), exit_grid={"bars": [4, 8]})
+scanned("x12_user_exit", lambda s, d: scan.trades_of(frame(s, d), don10(), scan.holding_time(5)), [run_sql("v", 0, "don10", "NULL", held=5, fee=7.0)])
+
+
 def grid_trades(spark, d):
     runs = [scan.Run(2 * i + j, i, scan.bracket(1.0, t, "close")) for i in range(2) for j, t in enumerate((1.5, 2.5))]
     return scan.extract(frame(spark, d), [F.col("don5"), don10()], runs, 5.0)
@@ -208,6 +212,9 @@ walked("x9_in_sample_selection", lambda: {"sma": SMA, "don": DON}, sma_runs("sma
        f"variant:s {KEY} fold:i combo:i is_mean_ret:d", "SELECT DISTINCT variant, market, symbol, fold, combo, is_mean_ret FROM walked",
        lambda df: df.select("variant", *KEYS, "fold", "combo", "is_mean_ret").distinct())
 walked("x10_walk_forward", lambda: {"sma": SMA, "don": DON}, sma_runs("sma") + don_runs("don"))
+walked("x12_user_exit_walk_forward", lambda: {"held": HELD, "don": DON},
+       [run_sql("held", 2 * i + j, s, 2.0, held=h, strategy="don") for i, s in enumerate(("don5", "don10")) for j, h in enumerate((4, 8))]
+       + don_runs("don"))
 walked("x10_walk_forward_summary", lambda: {"control": SMA, "gated": SMA.with_(gate=signals.adx_gate())},
        sma_runs("control") + sma_runs("gated", gate="adx >= 25"), "variant:s market:s trades:i mean_ret:d",
        "SELECT variant, market, count(*) AS trades, avg(ret) AS mean_ret FROM walked GROUP BY ALL",

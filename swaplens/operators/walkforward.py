@@ -28,6 +28,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 class Strategy:
     """The five decisions of a rule-based system plus its parameter grids and costs.
 
+    ``exit``    name of a built-in exit, or a function of the grid's parameters and ``fill`` that gives an ``ExitRule``
     ``gate``    boolean column over the feature frame; NULL blocks the entry
     ``sizer``   multiplier column read on the entry bar; NULL means 1
     ``hold``    pair of columns with the probability of holding a long / a short
@@ -36,7 +37,7 @@ class Strategy:
     """
 
     signal: SignalRule = JMA_CROSS
-    exit: str = "bracket"
+    exit: str | Callable[..., scan.ExitRule] = "bracket"
     exit_grid: Mapping[str, Sequence[float]] = field(
         default_factory=lambda: {"sl_mult": [1.0, 1.5, 2.0], "tp_mult": [1.5, 2.0, 3.0, 4.0]})
     gate: Column | None = None
@@ -52,7 +53,8 @@ class Strategy:
         return replace(self, **changes)
 
     def exit_rule(self, **params) -> scan.ExitRule:
-        return scan.EXITS[self.exit](fill=self.fill, **{**self.exit_args, **params})
+        make = self.exit if callable(self.exit) else scan.EXITS[self.exit]
+        return make(fill=self.fill, **{**self.exit_args, **params})
 
 
 def build_strategy(signal: SignalRule, exit: str, signal_grid: Mapping, exit_grid: Mapping, cost_bps,
@@ -153,9 +155,11 @@ def walk_forward(bars: DataFrame, strategies: Mapping[str, Strategy], n_splits:
         runs = [scan.Run(i * len(exits) + j, at[col], e, pair, size)
                 for i, col in enumerate(used[name]) for j, e in enumerate(exits)]
         need = min_trades if isinstance(min_trades, int) else min_trades[name]
-        plans.append(_plan_sql(name, need, s.fee_bps, runs))
+        plans.append((name, need, s.fee_bps, runs))
     packed = scan.pack(frame, signals, up, down, sizes)
-    return _select_and_trade(packed.withColumn("plan", F.explode(F.expr(f"array({', '.join(plans)})"))))
+    users = scan.users_of([r for *_, runs in plans for r in runs])
+    every = ", ".join(_plan_sql(*p, users) for p in plans)
+    return _select_and_trade(packed.withColumn("plan", F.explode(F.expr(f"array({every})"))), users)
 
 
 def fee_sql(fee_bps: float | Mapping[str, float]) -> str:
@@ -165,15 +169,15 @@ def fee_sql(fee_bps: float | Mapping[str, float]) -> str:
     return f"CASE market {cases} END"
 
 
-def _plan_sql(name: str, need: int, fee_bps, runs: Sequence[scan.Run]) -> str:
+def _plan_sql(name: str, need: int, fee_bps, runs: Sequence[scan.Run], users: Sequence[scan.UserExit]) -> str:
     quoted = name.replace("\\", "\\\\").replace("'", "\\'")
     return (f"named_struct('variant', '{quoted}', 'need', {max(need, 1)}, 'fee', {fee_sql(fee_bps)}, "
-            f"'runs', {scan.runs_sql(runs)})")
+            f"'runs', {scan.runs_sql(runs, users)})")
 
 
-def _select_and_trade(rows: DataFrame) -> DataFrame:
+def _select_and_trade(rows: DataFrame, users: Sequence[scan.UserExit] = ()) -> DataFrame:
     """Choose per fold, then read the next fold's trades of the chosen combination."""
-    rows = rows.select(*FOLD_KEYS, "last_idx", "plan.variant", "plan.need", "plan.fee", scan.run_column("plan.runs").alias("runs"))
+    rows = rows.select(*FOLD_KEYS, "last_idx", "plan.variant", "plan.need", "plan.fee", scan.run_column("plan.runs", users=users).alias("runs"))
     mean = ("aggregate(r.trades, 0D, (a, t) -> a + (t.direction * (t.exit_price - t.entry_price) / t.entry_price "
             "- fee / 1e4D)) / size(r.trades)")
     best = F.expr(f"array_max(transform(filter(runs, r -> size(r.trades) >= need), "

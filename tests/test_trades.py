@@ -115,3 +115,15 @@ def test_sizing_never_changes_the_trade_set(bars):
 def test_default_run_uses_default_parameters(bars):
     s = Strategy(rule({"every": [7]}), "bracket", fill="close")
     assert (default_trades(bars, s).select(F.max(F.col("entry_i") % 3)).first()[0]) == 0
+
+
+def test_an_exit_with_a_state_of_its_own(spark):
+    """Leave when the close falls a tenth below the best close since the entry: the state is that best close."""
+    from swaplens.operators import scan
+
+    close = [10, 11, 12, 11.5, 10.7, 10, 10, 12, 13, 14, 13]
+    rows = [(0, i, len(close) - 1, f"2020-01-{i + 1:02d}", float(c), 1.0, 1 if i in (0, 6) else 0) for i, c in enumerate(close)]
+    df = spark.createDataFrame(rows, "k int, idx int, last_idx int, d string, close double, atr double, sig int").withColumn("date", F.to_date("d"))
+    rule = scan.ExitRule(None, user=scan.UserExit("fall", "v.close < 0.9D * v.state", "v.close", "greatest(v.state, v.close)"))
+    got = scan.trades_of(df, F.col("sig"), rule, keys=["k"]).orderBy("entry_i").collect()
+    assert [(r.entry_i, r.exit_i, r.exit_price, r.reason) for r in got] == [(0, 4, 10.7, "fall"), (6, 10, 13.0, "eod")]
