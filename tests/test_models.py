@@ -11,7 +11,9 @@ from swaplens.operators.models import ProbModel, TrainingData
 from swaplens.operators.signals import DONCHIAN
 from swaplens.operators.walkforward import Strategy
 from swaplens.plans.attribution import CONTROL, run_attribution
+from swaplens.plans.analysis import analyze
 from swaplens.plans.study import Freeze, Market, StudyConfig, run_log, run_study
+from swaplens.session import cut_lineage
 
 SPLIT = "1999-07-01"
 TINY = {"maxIter": 2, "maxDepth": 2}
@@ -96,7 +98,7 @@ def test_study_reports_what_has_no_trades(bars):
             p = F.lit(0.0 if f.spec.target == "bracket" else 0.9)
             return f"p_{f.spec.target}{f.spec.side}", lambda df: df.withColumn(f"p_{f.spec.target}{f.spec.side}", p)
 
-    cfg = StudyConfig(markets=[Market(m, 5.0) for m in ("M0", "M1", "M2")], freezes=[Freeze("F1", "1997-07-01", "2100-01-01")], ablations=(),
+    cfg = StudyConfig(markets=[Market(m, 5.0) for m in ("M0", "M1", "M2")], freezes=[Freeze("F1", "1997-07-01", "2100-01-01")], ablations=(), min_days=20,
                       strategies={"don": dict(signal="donchian", signal_grid={"lookback": [5, 10]}, exit="trailing",
                                               exit_grid={"sl_mult": [2.0], "trail_mult": [2.0]}, min_trades=2)})
     trades, skipped = run_study(bars, cfg, StandIn())
@@ -107,6 +109,11 @@ def test_study_reports_what_has_no_trades(bars):
                     "best_combined", "exit@optimistic_stop_fill", "exit@one_day_lag", "best_combined@optimistic_stop_fill",
                     "best_combined@one_day_lag", "meta_label@transfer", "best_combined@transfer"}
     assert run_log(trades, skipped).count() == 3
+    tables = analyze(cut_lineage(trades), bars, cfg)
+    assert tables["tests"].count() > 0 and set(tables) == {
+        "tests", "jackknife", "cost_sensitivity", "is_oos_decay", "buy_and_hold", "regimes", "crises", "global_daily"}
+    for name in ("cost_sensitivity", "is_oos_decay", "buy_and_hold", "global_daily"):
+        assert tables[name].count() > 0, name
 
 
 def test_study_with_models(bars):
