@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -44,6 +45,24 @@ def frequent_pieces(texts: DataFrame, size: int = TABLE) -> list[str]:
     return [r.piece for r in found.orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()]
 
 
+class _Tiers(dict):
+    """The table of frequent pieces; for others the worker's cache is asked."""
+
+    def __init__(self, frequent: dict[str, int], missed: V.Known):
+        super().__init__(frequent)
+        self.missed = missed
+
+    def __missing__(self, piece: str) -> int:
+        return self.missed[piece]
+
+
+@lru_cache(maxsize=2)
+def _lengths(path: str) -> V.Known:
+    """The cache of this worker for what the broadcast table does not hold; it outlives the task."""
+    coder = V.load(path)
+    return V.Known(lambda piece: len(coder.encode(piece, add_special_tokens=False)), False)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, table_size: int = TABLE) -> DataFrame:
     """Per row of `docs`: id, n_bytes, n_tokens, over_limit.
 

@@ -7,6 +7,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 #: Fixed value: the code points that Unicode calls white space.
@@ -65,6 +66,12 @@ class Known(dict):
             self.update(first)
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The one of this worker: its cache outlives the task, so that later tasks encode only words that are new to it."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Packed ids (little-endian unsigned 32-bit) of whole texts, equal to the library's without added tokens."""
 
