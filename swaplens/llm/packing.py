@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from swaplens.llm import vocabularies as V
 from swaplens.llm.common import keyed_text, numbered, written
 
-ROUNDS = 60  # pricing steps of the program
+ROUNDS = 24  # pricing steps of the program
 STEP = 0.5  # share of what is left that a step may cover
 EDGE = 1 / 64  # weight of the multiplicative weights beside the filled room
 
@@ -48,34 +48,34 @@ def solve(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> dict[tuple
     by its size and weight, and solves one knapsack. Its table holds the best pattern around every length, and
     each of them takes up to STEP of what is left.
     """
-    lengths = np.array(sorted(counts), np.int64)
-    demand = np.array([counts[int(n)] for n in lengths], np.float64)
-    left, used = demand.copy(), {}
+    left = {n: float(counts[n]) for n in sorted(counts)}
+    used: dict[tuple[tuple[int, int], ...], float] = {}
     for _ in range(rounds):
-        live = np.flatnonzero(left >= 1)
-        if not len(live):
+        live = [n for n, c in left.items() if c >= 1]
+        if not live:
             break
-        weight = np.exp(-(1 - left[live] / demand[live]) / STEP)
-        choice = _knapsack(lengths[live], lengths[live] * (1 + EDGE * weight / weight.max()), size)
+        lengths = np.array(live, np.int64)
+        weight = np.exp(-np.array([1 - left[n] / counts[n] for n in live]) / STEP)
+        choice = _knapsack(lengths, lengths * (1 + EDGE * weight / weight.max()), size).tolist()
         moved = False
-        for seed in live[::-1]:
+        for seed in reversed(live):
             if left[seed] < 1:
                 continue
-            taken, room = {int(seed): 1}, size - int(lengths[seed])
+            taken, room = {seed: 1}, size - seed
             while room > 0:
                 if choice[room] < 0:
                     room -= 1
                     continue
-                j = int(live[choice[room]])
-                room -= int(lengths[j])
-                taken[j] = taken.get(j, 0) + 1
-            most = min(left[j] / k for j, k in taken.items())
+                n = live[choice[room]]
+                room -= n
+                taken[n] = taken.get(n, 0) + 1
+            most = min(left[n] / k for n, k in taken.items())
             if most < 1:
                 continue  # used up meanwhile: the next round prices without it
             amount = max(1.0, STEP * most)
-            for j, k in taken.items():
-                left[j] -= amount * k
-            key = tuple(sorted((int(lengths[j]), k) for j, k in taken.items()))
+            for n, k in taken.items():
+                left[n] -= amount * k
+            key = tuple(sorted(taken.items()))
             used[key] = used.get(key, 0.0) + amount
             moved = True
         if not moved:
@@ -84,16 +84,25 @@ def solve(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> dict[tuple
 
 
 def plan(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Patterns with whole numbers of sequences, which hold exactly all pieces that `counts` (length: number) has."""
-    left = dict(counts)
-    whole: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    for pattern, amount in sorted(solve(counts, size, rounds).items(), key=lambda x: (-sum(n * k for n, k in x[0]), x[0])) if counts else []:
-        times = min(int(amount + 1e-6), *(left[n] // k for n, k in pattern))
-        if times:
-            whole.append((pattern, times))
-            for n, k in pattern:
-                left[n] -= times * k
-    return whole + best_fit(left, size)
+    """Patterns with whole numbers of sequences, which hold exactly all pieces that `counts` (length: number) has.
+
+    The program's patterns are rounded down, the fullest first; what they leave is packed best fit. Rounding may stop at any
+    share of them, and the share (in quarters) that needs the fewest sequences is taken.
+    """
+    solution = sorted(solve(counts, size, rounds).items(), key=lambda x: (-sum(n * k for n, k in x[0]), x[0])) if counts else []
+    best: list | None = None
+    for share in range(4, -1, -1):
+        left, whole = dict(counts), []
+        for pattern, amount in solution[: len(solution) * share // 4]:
+            times = min(int(amount + 1e-6), *(left[n] // k for n, k in pattern))
+            if times:
+                whole.append((pattern, times))
+                for n, k in pattern:
+                    left[n] -= times * k
+        whole += best_fit(left, size)
+        if best is None or sum(t for _, t in whole) < sum(t for _, t in best):
+            best = whole
+    return best or []
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -152,7 +161,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str
     schema = pa.schema([(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * keep_ids)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = V.WordEncoder(tokenizer)
+        coder = V.word_encoder(tokenizer)
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), coder(batch.column(1).to_pylist())):
