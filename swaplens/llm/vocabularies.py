@@ -13,7 +13,7 @@ from itertools import islice
 #: Fixed value: the code points that Unicode calls white space.
 WHITE = "\t-\r \x85\xa0  -     　"
 
-CACHED = 1_000_000  # pieces a worker keeps; about 200 MB
+CACHED = 700_000  # pieces a worker keeps; about 150 MB
 LONGEST = 64  # longer pieces are encoded and not kept
 
 

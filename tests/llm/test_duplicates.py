@@ -178,3 +178,12 @@ def test_suffix_arrays():
         left = ends[np.searchsorted(ends, np.arange(len(s)))] - np.arange(len(s))
         runs = [tuple(s[k : k + left[k]]) for k in range(len(s))]
         assert [runs[k] for k in decontamination.suffix_array(s, left)] == sorted(runs)
+
+
+def test_tables_between_steps_can_be_removed(spark):
+    path = common.new_folder(spark, "test")
+    spark.range(3).write.parquet(path)
+    assert path.startswith(common.run_folder(spark)) and spark.read.parquet(path).count() == 3
+    common.release(spark)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
