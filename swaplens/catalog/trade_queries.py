@@ -441,8 +441,8 @@ register("a12_trials_per_component_type", "variant:s trials:i trades:i", lambda
 
 
 def _trials(spark, d):
-    a, b = decisions.Exit(name="scored"), decisions.Exit(name="other")
-    n = {"control": 1, **decisions.trials_per_type([a, b])}
+    a, b = decisions.learned_exit().named("scored"), decisions.learned_exit().named("other")
+    n = {"control": 1, **decisions.trials_per_family([a, b])}
     trials = F.lit(None).cast("int")
     for k, v in n.items():
         trials = F.when(F.col("variant") == k, v).otherwise(trials)
