@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa

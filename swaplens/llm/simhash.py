@@ -93,7 +93,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs[id_col].cast("long").alias("_id"), F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":"), text)).alias("_key"), text.alias("_text"), F.struct(*(docs[c] for c in columns)).alias("_row")
     )
     rows = written(row.select("_id", "_key", fingerprints(F.col("_text"), size).alias("_fp")), "fingerprints")
-    named = rows.join(placed(rows).select(F.col("fp").alias("_fp"), "root"), "_fp")
-    keep = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_first")).select(F.col("_first._key").alias("_key"))
+    first = rows.groupBy("_fp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_first"))  # copies meet in no join
+    named = first.join(placed(rows).select(F.col("fp").alias("_fp"), "root"), "_fp")
+    keep = named.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._key").alias("_key"))
     kept = row.select("_key", "_row").join(keep, "_key", "left_semi").dropDuplicates(["_key"])
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in columns))
