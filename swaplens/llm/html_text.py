@@ -3,7 +3,8 @@
 For every element of the document tree the characters per tag, adjusted by the share of links, give its density. The
 element whose children's densities have the largest sum holds the article; the least density on the path from it to the
 body is the threshold that other parts must reach. What names itself as a menu, header, footer, sidebar, notice,
-advert, form or reader comment is taken out of the tree before, as are scripts and styles.
+advert, form or reader comment is taken out of the tree before, as are scripts and styles. A name counts as a whole
+(`no-sidebar` names no sidebar), and what is named stays if it holds the article: see `taken_out`.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 # Element and attribute names of HTML, and the words by which pages name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr q s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("script style noscript template iframe object svg canvas head title nav footer aside form button select textarea input dialog audio video menu".split())
+DROPPED = frozenset("script style noscript template iframe object svg canvas head title nav footer aside button select textarea input dialog audio video menu".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -29,6 +30,11 @@ NOISE = frozenset(
     "comment comments commentlist respond disqus cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal "
     "overlay share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar masthead".split()
 )
+READERS = frozenset("comment comments commentlist respond disqus related recommended".split())  # what is text, but never around the article beside it
+NEUTRAL = frozenset(
+    "area articles author bar block body bottom box button buttons container form icons info inner item items left links list main media outer page "
+    "post posts right section site slot stories the title top unit widgets wrap wrapper".split()
+)  # what may stand beside them in one name, as in site-footer
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 LISTS = frozenset("ul ol dl table div section".split())
 
@@ -42,16 +48,15 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.dropped = ["#root"], [-1], [False]
+        self.named: list[str] = [""]  # by what an element may have to go: "" by nothing
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
-        self.blocks: list[tuple[int, str]] = []
+        self.blocks: list[tuple[int, list[tuple[int, str, bool]]]] = []  # owner, and text with its element and whether it is linked
         self.stack, self.open, self.owner = [0], [], 0
         self.links = 0
 
     def flush(self) -> None:
         if self.open:
-            text = SPACE.sub(" ", "".join(self.open)).strip()
-            if text:
-                self.blocks.append((self.owner, text))
+            self.blocks.append((self.owner, self.open))
             self.open = []
 
     def block(self) -> None:
@@ -81,28 +86,42 @@ class Tree(HTMLParser):
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(above)
-        self.dropped.append(self.dropped[above] or tag in DROPPED or self.noise(tag, dict(attrs)))
+        self.dropped.append(self.dropped[above] or tag in DROPPED or self.hidden(tag, attrs := dict(attrs)))
+        self.named.append("" if self.dropped[node] else self.noise(tag, attrs))
         for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
             counts.append(0)
         self.tags[above] += 1
         self.link_tags[above] += tag == "a"
         if tag == "br":
-            self.open.append(" ")
+            self.open.append((0, " ", False))
         if tag not in VOID:
             self.stack.append(node)
             self.links += tag == "a"
         if tag not in INLINE:
             self.block()
 
-    def noise(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag in ("html", "body", "article", "main") and not any(self.tag[n] == "article" for n in self.stack):
-            return False
-        if attrs.get("hidden", "no") != "no" or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES:
-            return True
-        words = set(WORDS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
-        if words & NOISE:
-            return True
-        return (tag == "header" or "header" in words) and not any(self.tag[n] in ("article", "main") for n in self.stack)
+    def hidden(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        return not self.sound(tag) and (attrs.get("hidden", "no") != "no" or attrs.get("aria-hidden") == "true")
+
+    def sound(self, tag: str) -> bool:
+        return tag in ("html", "body", "article", "main") and not any(self.tag[n] == "article" for n in self.stack)
+
+    def noise(self, tag: str, attrs: dict[str, str | None]) -> str:
+        """What an element says it is: "readers" (what READERS name), "header" (the tag), "noise", or "" for nothing of these."""
+        found = set()
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+            words = {w for w in WORDS.findall(name) if len(w) > 1}
+            if words & (NOISE | {"header"}) and words <= NOISE | NEUTRAL | {"header"}:
+                found |= words - NEUTRAL
+        if self.sound(tag):
+            return "own" if found & NOISE else ""
+        if found & READERS:
+            return "readers"
+        if found & NOISE or attrs.get("role") in ROLES or tag == "form" or tag in ("label", "legend") and any(self.tag[n] == "form" for n in self.stack):
+            return "noise"
+        if (tag == "header" or "header" in found) and not any(self.tag[n] in ("article", "main") for n in self.stack):
+            return "header" if tag == "header" else "noise"
+        return ""
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
@@ -119,13 +138,54 @@ class Tree(HTMLParser):
         node = self.stack[-1]
         if self.dropped[node]:
             return
-        self.open.append(data)
+        self.open.append((node, data, self.links > 0))
         size = len(data.strip())
         self.chars[node] += size
         if self.links:
             self.link_chars[node] += size
 
 
+def taken_out(t: Tree) -> list[bool]:
+    """Of each element whether it goes: scripts, styles and the like, and what is named as noise and does not hold the article.
+
+    The article's marks are a main, an article (of half the longest one's text at least) and the first h1. A named element stays if one of
+    them is in it, or most of the page's text that is not linked. Comments and related pages are often longer than the
+    article and made of articles: they stay only if no mark is elsewhere, and inside a mark only if they are all its text.
+    Names take nothing out if nothing else is left.
+    """
+    n = len(t.tag)
+    plain = [c - lc for c, lc in zip(t.chars, t.link_chars)]
+    below = [False] * n  # a header
+    for k in range(n - 1, 0, -1):
+        plain[t.parent[k]] += plain[k]
+    for k in range(1, n):
+        below[k] = below[t.parent[k]] or t.named[k] == "header"
+    articles = [k for k in range(n) if t.tag[k] == "article" and not t.dropped[k] and not t.named[k]]
+    most = max((plain[k] for k in articles), default=0)
+    marked = {k for k in articles if 2 * plain[k] >= most} | {k for k in range(n) if t.tag[k] == "main" and not t.dropped[k]}
+    marked |= set([k for k in range(n) if t.tag[k] == "h1" and not t.dropped[k] and not below[k]][:1])
+    marks = [int(k in marked) for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        marks[t.parent[k]] += marks[k]
+    out, around = t.dropped[:], [(0, 0)] * n  # how many marks an element is in, and the text of the last
+    for k in range(1, n):
+        up = t.parent[k]
+        around[k] = (around[up][0] + 1, plain[up]) if up in marked else around[up]
+        if t.named[k] in ("noise", "header", "readers") and not out[k]:
+            holds = marks[k] > 0 or 2 * plain[k] > plain[0]
+            if t.named[k] == "readers":
+                holds = holds and marks[k] + around[k][0] == marks[0] and plain[k] >= around[k][1]
+            out[k] = not holds
+        out[k] = out[k] or out[up]
+    if any(text.strip() and not out[k] for _, run in t.blocks for k, text, _ in run):
+        return out
+    return t.dropped
+
+
+def joined(run: list[tuple[int, str, bool]], dropped: list[bool]) -> str:
+    return SPACE.sub(" ", "".join(text for k, text, _ in run if not dropped[k])).strip()
+
+
 def densities(t: Tree) -> tuple[list[float], list[float]]:
     """Of each element: its composite density, and the sum of its children's."""
     live = [not d for d in t.dropped]
@@ -157,11 +217,16 @@ def extract(html: str) -> str:
     t.feed(html)
     t.close()
     t.flush()
-    if not t.blocks:
+    t.dropped = taken_out(t)
+    for k in range(len(t.tag)):
+        if t.dropped[k]:
+            t.chars[k] = t.tags[k] = t.link_chars[k] = t.link_tags[k] = 0
+    blocks = [(owner, text) for owner, run in t.blocks if (text := joined(run, t.dropped))]
+    if not blocks:
         return ""
     density, total = densities(t)
     if not any(total):
-        return "\n".join(text for _, text in t.blocks)
+        return "\n".join(text for _, text in blocks)
     best = max(range(len(total)), key=lambda k: (total[k], -k))
     path = [best]
     while t.parent[path[-1]] >= 0 and t.tag[path[-1]] != "body":
@@ -185,7 +250,7 @@ def extract(html: str) -> str:
     for k in range(1, len(kept)):
         kept[k] = kept[k] or kept[t.parent[k]]
         listing[k] = listing[k] or listing[t.parent[k]]
-    return "\n".join(text for owner, text in t.blocks if kept[owner] and not listing[owner])
+    return "\n".join(text for owner, text in blocks if kept[owner] and not listing[owner])
 
 
 def main_text(html: Column) -> Column:

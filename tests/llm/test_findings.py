@@ -139,6 +139,27 @@ def test_main_text(wrap):
     assert html_text.extract(PAGE % (wrap % BODY)) == TEXT
 
 
+@pytest.mark.parametrize("wrap", [
+    *(f'<div class="{name}">%s</div>' for name in ("content no-sidebar", "with-sidebar", "has-comments", "has-header", "ad-free", "social", "header", "content-sidebar-wrap")),
+    *(f'<div class="{name}"><article>%s</article></div>' for name in ("no-sidebar", "social", "comments", "widget")),
+    '<div id=social><div class="sidebar">%s</div></div>', '<div role=form>%s</div>', "<form action=/><input value=y><label>Find</label><button>Go</button>%s</form>",
+    '<main><div class="comments"><article>%s</article></div></main>',
+])
+def test_wrappers_named_as_noise_keep_the_article(wrap):
+    assert html_text.extract(PAGE % (wrap % BODY)) == TEXT
+    assert html_text.extract(f"<html><body>{wrap % BODY}</body></html>") == TEXT  # and with nothing beside it
+
+
+def test_named_parts_go_however_long():
+    noise = "".join(f"<p>I do not agree with number {k} at all, and I say so here at length.</p>" for k in range(50))
+    for part in ('<div class="%s">' + noise + "</div>", '<div id="%s"><article>' + noise + "</article></div>"):
+        for name in ("comments", "comment-list", "related-posts"):
+            assert html_text.extract(PAGE % (f"<div class=content>{BODY}</div>" + part % name)) == TEXT
+            assert html_text.extract(PAGE % f"<main>{BODY}{part % name}</main>") == TEXT
+    for name in ("cookie-notice", "site-footer", "ad-728x90", "nav-bar", "sidebar1"):
+        assert html_text.extract(PAGE % f'<main>{BODY}<div class="{name}"><p>Some words of this.</p></div></main>') == TEXT
+
+
 def test_pages(spark):
     pages = [(1, "u", PAGE % f"<article>{BODY}</article>", "c"), (2, None, None, "c"), (3, "u", "", "c"), (None, "u", "plain text", "c"), (5, "u", "<article><p>cut of", "c"),
              (6, "u", "<div>" * 2000 + "deep", "c"), (7, "u", "a < b &amp c &#x41; &bogus; <!-- no --> </b></p>", "c"), (1, "u", PAGE % f"<article>{BODY}</article>", "c"), (8, "u", "<article>" + "<p>very long words here</p>" * 3000, "c")]
