@@ -2,7 +2,7 @@
 
 For every element of the document tree the characters per tag, adjusted by the share of links, give its density. The
 element whose children's densities have the largest sum holds the article; the least density on the path from it to the
-body is the threshold that other parts must reach. What names itself as a menu, header, footer, sidebar, notice,
+body is the threshold that other parts must reach. Text that stands in an element beside other blocks is a child of its own. What names itself as a menu, header, footer, sidebar, notice,
 advert, form or reader comment is taken out of the tree before, as are scripts and styles. A name counts as a whole
 (`no-sidebar` names no sidebar), and what is named stays if it holds the article: see `taken_out`.
 """
@@ -186,14 +186,29 @@ def joined(run: list[tuple[int, str, bool]], dropped: list[bool]) -> str:
     return SPACE.sub(" ", "".join(text for k, text, _ in run if not dropped[k])).strip()
 
 
-def densities(t: Tree) -> tuple[list[float], list[float]]:
-    """Of each element: its composite density, and the sum of its children's."""
+def density_of(c: int, n: int, lc: int, ln: int, share: float) -> float:
+    """Composite density of a part by its characters, tags, linked characters and links; `share` is the body's of linked ones."""
+    base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+    inside = c / max(1, lc) * max(1, n) / max(1, ln)
+    return c / max(1, n) * math.log(max(inside, 1.0)) / max(base, 1e-9)
+
+
+def densities(t: Tree) -> tuple[list[float], list[float], list[bool], list[tuple[int, float, str]]]:
+    """Of each element: its composite density, the sum of its children's, and whether it can hold blocks.
+
+    And the blocks: the element each stands in, its density and text. A block beside other blocks is a child of its element; its line
+    breaks are no tags, as a paragraph's ends are none.
+    """
     live = [not d for d in t.dropped]
     c, n, lc, ln = t.chars[:], t.tags[:], t.link_chars[:], t.link_tags[:]
+    block = [tag not in INLINE for tag in t.tag]  # or an inline element around blocks
+    mixed = [False] * len(live)  # has blocks among its children
     for k in range(len(live) - 1, 0, -1):
         if live[k]:
             for counts in (c, n, lc, ln):
                 counts[t.parent[k]] += counts[k]
+            if block[k] and c[k]:
+                block[t.parent[k]] = mixed[t.parent[k]] = True
         elif live[t.parent[k]]:
             n[t.parent[k]] -= 1  # what was taken out is no tag of the page either
     body = next((k for k, tag in enumerate(t.tag) if tag == "body"), 0)
@@ -201,18 +216,35 @@ def densities(t: Tree) -> tuple[list[float], list[float]]:
     density, total = [0.0] * len(live), [0.0] * len(live)
     for k in range(len(live) - 1, -1, -1):
         if live[k] and c[k]:
-            plain = max(1, c[k] - lc[k])
-            base = math.log(c[k] / plain * lc[k] + share * c[k] + math.e)
-            inside = c[k] / max(1, lc[k]) * max(1, n[k]) / max(1, ln[k])
-            density[k] = c[k] / max(1, n[k]) * math.log(max(inside, 1.0)) / max(base, 1e-9)
-        if k:
+            density[k] = density_of(c[k], n[k], lc[k], ln[k], share)
+        if k and (block[k] or not mixed[t.parent[k]]):  # else it is part of a block, which counts
             total[t.parent[k]] += density[k]
+    blocks = []
+    for home, run in t.blocks:
+        run = [x for x in run if live[x[0]]]
+        text = joined(run, t.dropped)
+        if not text:
+            continue
+        home = next((k for k, s, _ in run if s.strip()), home)
+        while not block[home]:
+            home = t.parent[home]
+        own = 0.0
+        if mixed[home]:
+            size, linked = (sum(len(s.strip()) for _, s, a in run if a >= least) for least in (False, True))
+            inside = {k for k, s, _ in run if s.strip()} - {home}
+            own = density_of(size, len(inside), linked, sum(t.tag[k] == "a" for k in inside) or int(linked > 0), share)
+            total[home] += own
+        blocks.append((home, own, text))
     t.chars, t.tags, t.link_chars, t.link_tags = c, n, lc, ln
-    return density, total
+    return density, total, block, blocks
 
 
 def extract(html: str) -> str:
-    """The main text: its blocks in page order, one on a line, white space inside a block turned into one space."""
+    """The main text: its blocks in page order, one on a line, white space inside a block turned into one space.
+
+    Where no article or main is marked, an element that reaches the threshold gives its part of largest sum, and besides every block
+    standing in it that reaches the threshold itself.
+    """
     t = Tree()
     t.feed(html)
     t.close()
@@ -221,27 +253,23 @@ def extract(html: str) -> str:
     for k in range(len(t.tag)):
         if t.dropped[k]:
             t.chars[k] = t.tags[k] = t.link_chars[k] = t.link_tags[k] = 0
-    blocks = [(owner, text) for owner, run in t.blocks if (text := joined(run, t.dropped))]
-    if not blocks:
-        return ""
-    density, total = densities(t)
+    density, total, block, blocks = densities(t)
     if not any(total):
-        return "\n".join(text for _, text in blocks)
-    best = max(range(len(total)), key=lambda k: (total[k], -k))
+        return "\n".join(text for *_, text in blocks)
+    best = max((k for k in range(len(total)) if block[k]), key=lambda k: (total[k], -k))
     path = [best]
     while t.parent[path[-1]] >= 0 and t.tag[path[-1]] != "body":
         path.append(t.parent[path[-1]])
     whole = next((k for name in ("article", "main") for k in reversed(path) if t.tag[k] == name), None)
-    kept = [False] * len(total)
+    kept, reached, least = [False] * len(total), [False] * len(total), 0.0
     if whole is not None:
         kept[whole] = True
     else:
         least = min(density[k] for k in path)
         top = list(range(len(total)))  # in each subtree, the element of largest sum
         for k in range(len(total) - 1, 0, -1):
-            if total[top[k]] > total[top[t.parent[k]]]:
+            if block[top[k]] and total[top[k]] > total[top[t.parent[k]]]:
                 top[t.parent[k]] = top[k]
-        reached = [False] * len(total)
         for k in range(path[-1], len(total)):
             if density[k] and density[k] >= least and (k == path[-1] or reached[t.parent[k]]):
                 reached[k] = True
@@ -250,7 +278,7 @@ def extract(html: str) -> str:
     for k in range(1, len(kept)):
         kept[k] = kept[k] or kept[t.parent[k]]
         listing[k] = listing[k] or listing[t.parent[k]]
-    return "\n".join(text for owner, text in blocks if kept[owner] and not listing[owner])
+    return "\n".join(text for home, own, text in blocks if (kept[home] or reached[home] and own and own >= least) and not listing[home])
 
 
 def main_text(html: Column) -> Column:

@@ -160,6 +160,25 @@ def test_named_parts_go_however_long():
         assert html_text.extract(PAGE % f'<main>{BODY}<div class="{name}"><p>Some words of this.</p></div></main>') == TEXT
 
 
+@pytest.mark.parametrize("aside", [
+    "<blockquote>" + "<p>%s</p>" * 2 + "</blockquote>", "<blockquote>" + "<p>%s</p>" * 6 + "</blockquote>", "<table><tr>" + "<td>%s</td>" * 5 + "</table>", "<ul>" + "<li>%s" * 5 + "</ul>",
+    "<b><div>" + "<p>%s</p>" * 40 + "</div></b>",
+])
+@pytest.mark.parametrize("wrap", ["<div>%s</div>", "%s", "<div><font>%s</font></div>", "<div><div><p>short</p></div>%s</div>"])
+def test_text_beside_blocks_is_kept(aside, wrap):
+    lines = [f"line {k} " + prose(k, 16) for k in range(30)]
+    quotes = [prose(100 + k, 33) for k in range(aside.count("%s"))]
+    for page in (aside % tuple(quotes) + "<br>".join(lines), "<br>".join(lines) + aside % tuple(quotes)):
+        got = html_text.extract(f"<html><body>{wrap % page}</body></html>")
+        assert all(" ".join(x.split()) in got for x in (*lines, *quotes))
+
+
+def test_inline_elements_do_not_hide_their_block():
+    bold = "<br>".join(f"<b>{prose(k, 20)}</b>" for k in range(10))
+    got = html_text.extract(f"<html><body><div><font>{bold}</font></div><p>end</p></body></html>")
+    assert all(" ".join(prose(k, 20).split()) in got for k in range(10))
+
+
 def test_pages(spark):
     pages = [(1, "u", PAGE % f"<article>{BODY}</article>", "c"), (2, None, None, "c"), (3, "u", "", "c"), (None, "u", "plain text", "c"), (5, "u", "<article><p>cut of", "c"),
              (6, "u", "<div>" * 2000 + "deep", "c"), (7, "u", "a < b &amp c &#x41; &bogus; <!-- no --> </b></p>", "c"), (1, "u", PAGE % f"<article>{BODY}</article>", "c"), (8, "u", "<article>" + "<p>very long words here</p>" * 3000, "c")]
