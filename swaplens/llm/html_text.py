@@ -243,7 +243,8 @@ def extract(html: str) -> str:
     """The main text: its blocks in page order, one on a line, white space inside a block turned into one space.
 
     Where no article or main is marked, an element that reaches the threshold gives its part of largest sum, and besides every block
-    standing in it that reaches the threshold itself.
+    standing in it that reaches the threshold itself. Nothing goes from the chosen element (the article, main or best part);
+    outside of it lists, tables and sections of three links or more with over 60 % linked characters are menus and go.
     """
     t = Tree()
     t.feed(html)
@@ -274,10 +275,13 @@ def extract(html: str) -> str:
             if density[k] and density[k] >= least and (k == path[-1] or reached[t.parent[k]]):
                 reached[k] = True
                 kept[top[k] if total[top[k]] > 0 else k] = True
-    listing = [t.tag[k] in LISTS and t.link_tags[k] >= 3 and t.link_chars[k] > 0.6 * t.chars[k] for k in range(len(total))]
+    chosen = best if whole is None else whole
+    above, inside = set(path[path.index(chosen) :]), [k == chosen for k in range(len(total))]
+    listing = [k not in above and t.tag[k] in LISTS and t.link_tags[k] >= 3 and t.link_chars[k] > 0.6 * t.chars[k] for k in range(len(total))]
     for k in range(1, len(kept)):
         kept[k] = kept[k] or kept[t.parent[k]]
-        listing[k] = listing[k] or listing[t.parent[k]]
+        inside[k] = inside[k] or inside[t.parent[k]]
+        listing[k] = not inside[k] and (listing[k] or listing[t.parent[k]])
     return "\n".join(text for home, own, text in blocks if (kept[home] or reached[home] and own and own >= least) and not listing[home])
 
 

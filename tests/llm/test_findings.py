@@ -179,6 +179,28 @@ def test_inline_elements_do_not_hide_their_block():
     assert all(" ".join(prose(k, 20).split()) in got for k in range(10))
 
 
+LINKED = [
+    "<ol>" + "".join(f"<li><a href={k}>Reference number {k} of the article</a> 20{k}" for k in range(10, 16)) + "</ol>",
+    "<table>" + "".join(f"<tr><td><a href={k}>Name of person {k}</a><td>{k}" for k in range(10, 16)) + "</table>",
+    "<section>" + "".join(f"<p><a href={k}>Further reading of part {k}</a>" for k in range(10, 16)) + "</section>",
+]
+
+
+@pytest.mark.parametrize("linked", LINKED)
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<div class=content>%s</div>", "%s"])
+def test_linked_lists_of_the_article_are_kept(wrap, linked):
+    got = html_text.extract(f"<html><body>{wrap % (BODY + linked)}</body></html>")
+    lines = [re.sub("<[^>]*>", "", x) for x in re.split("<(?:li|td|p)>", linked)[1:]]
+    assert got == "\n".join([TEXT, *lines])
+
+
+def test_mostly_linked_page_is_kept_and_a_menu_outside_goes():
+    page = "".join(f"<p>See <a href={k}>the long story number {k} of this site</a>." for k in range(8))
+    assert html_text.extract(f"<html><body><div>{page}</div></body></html>").count("See the long story") == 8
+    menu = "<ul>" + "".join(f"<li><a href={k}>{prose(k, 30)}</a>" for k in range(4)) + "</ul>"
+    assert html_text.extract(f"<html><body>{menu}<div class=content>{BODY}</div></body></html>") == TEXT
+
+
 def test_pages(spark):
     pages = [(1, "u", PAGE % f"<article>{BODY}</article>", "c"), (2, None, None, "c"), (3, "u", "", "c"), (None, "u", "plain text", "c"), (5, "u", "<article><p>cut of", "c"),
              (6, "u", "<div>" * 2000 + "deep", "c"), (7, "u", "a < b &amp c &#x41; &bogus; <!-- no --> </b></p>", "c"), (1, "u", PAGE % f"<article>{BODY}</article>", "c"), (8, "u", "<article>" + "<p>very long words here</p>" * 3000, "c")]
