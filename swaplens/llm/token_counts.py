@@ -79,16 +79,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = V.load(tokenizer)
-
         joined, sizes = table.value
-        frequent = dict(zip(joined.split("\0"), sizes.to_pylist())) if len(sizes) else {}
-        known = V.Known(lambda piece: len(coder.encode(piece, add_special_tokens=False)), False, frequent)
+        tiers = _Tiers(dict(zip(joined.split("\0"), sizes.to_pylist())) if len(sizes) else {}, _lengths(tokenizer))
         for batch in batches:
             out = []
             for text in batch:
-                out.append(sum(map(known.__getitem__, PIECE.findall(text))))
-                known.trim(len(frequent) + V.CACHED)
+                out.append(sum(map(tiers.__getitem__, PIECE.findall(text))))
+                tiers.missed.trim(V.CACHED)
             yield pd.Series(out, dtype="int64")
 
     counted = texts.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), tokens("text").alias("n_tokens"))

@@ -52,6 +52,16 @@ def test_counts(odd, odd_rows, empty):
     assert token_counts.count_tokens(empty, BYTE).count() == 0
 
 
+def test_counts_leave_what_the_table_missed_in_the_worker(spark, odd):
+    token_counts.count_tokens(odd, BYTE, table_size=1).collect()
+
+    def kept(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [len(token_counts._lengths(BYTE))] * batch.num_rows})
+
+    assert spark.range(64, numPartitions=32).mapInArrow(kept, "n long").agg({"n": "max"}).first()[0] > 0
+
+
 @pytest.mark.parametrize("size", [16, 4096])
 def test_packing(odd, odd_rows, empty, size):
     rows = packing.pack(odd, WORD, size=size, end_id=1, keep_ids=True).collect()
