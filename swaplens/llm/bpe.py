@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swaplens.llm.vocabularies import CACHED, LONGEST
+from swaplens.llm.vocabularies import LONGEST
 
 #: Fixed value: how byte-level tokenizers part a text into words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 NEVER = 1 << 40  # the rank of a merge that does not exist
-GROUP = 2_000_000  # characters of texts whose words are proposed and verified together
+GROUP = 500_000  # characters of texts whose words are proposed and verified together
+CACHED = 300_000  # words a worker keeps; about 70 MB
 
 
 def _byte_of() -> dict[str, int]:
@@ -241,5 +242,14 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     A null text is empty and has no ids. Null ids of rows stay null, repeated rows are encoded each, very long texts
     whole; a string of the special token inside a text is that token. No rows give no rows. Further columns are not read.
     """
-    rows = docs.select(docs[id_col].cast("long").alias(id_col), encoded(docs[text_col], tokenizer).alias("ids"))
-    return rows.select(id_col, "ids", decoded(F.col("ids"), tokenizer).alias("decoded"))
+    schema = pa.schema([(id_col, pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(tokenizer)
+        for batch in batches:
+            for rows in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                ids = [i for group in groups(rows.column(1).to_pylist()) for i in c.encode(group)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())], schema=schema)
+
+    rows = docs.select(docs[id_col].cast("long").alias(id_col), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(both, f"`{id_col}` long, ids binary, decoded string")  # one worker a task for both directions
