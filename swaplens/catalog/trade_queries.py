@@ -191,6 +191,7 @@ scanned("x6_sized_trades", lambda s, d: scan.extract(frame(s, d), [don10()], [sc
 
 HELD = DON.with_(exit=lambda bars, fill: scan.holding_time(bars, 2.0, fill), exit_grid={"bars": [4, 8]})
 scanned("x12_user_exit", lambda s, d: scan.trades_of(frame(s, d), don10(), scan.holding_time(5)), [run_sql("v", 0, "don10", "NULL", held=5, fee=7.0)])
+scanned("x13_python_exit", lambda s, d: scan.trades_of(frame(s, d), don10(), scan.python_holding_time(5)), [run_sql("v", 0, "don10", "NULL", held=5, fee=7.0)])
 
 
 def grid_trades(spark, d):
@@ -215,6 +216,10 @@ walked("x10_walk_forward", lambda: {"sma": SMA, "don": DON}, sma_runs("sma") + d
 walked("x12_user_exit_walk_forward", lambda: {"held": HELD, "don": DON},
        [run_sql("held", 2 * i + j, s, 2.0, held=h, strategy="don") for i, s in enumerate(("don5", "don10")) for j, h in enumerate((4, 8))]
        + don_runs("don"))
+HELD_IN_PYTHON = HELD.with_(exit=lambda bars, fill: scan.python_holding_time(bars, 2.0, fill))
+walked("x13_python_exit_walk_forward", lambda: {"held": HELD_IN_PYTHON, "don": DON},
+       [run_sql("held", 2 * i + j, s, 2.0, held=h, strategy="don") for i, s in enumerate(("don5", "don10")) for j, h in enumerate((4, 8))]
+       + don_runs("don"))
 walked("x10_walk_forward_summary", lambda: {"control": SMA, "gated": SMA.with_(gate=signals.adx_gate())},
        sma_runs("control") + sma_runs("gated", gate="adx >= 25"), "variant:s market:s trades:i mean_ret:d",
        "SELECT variant, market, count(*) AS trades, avg(ret) AS mean_ret FROM walked GROUP BY ALL",

@@ -15,11 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import FOLD_KEYS
+from . import states
+from .states import PythonExit
 
 
 @dataclass(frozen=True)
@@ -54,7 +57,7 @@ class ExitRule:
     trail: float | None = None
     hold: float | None = None
     at_stop: bool = True
-    user: UserExit | None = None
+    user: UserExit | PythonExit | None = None
 
 
 def holding_time(bars: int = 10, sl_mult: float | None = None, fill: str = "stop") -> ExitRule:
@@ -77,6 +80,17 @@ def learned(sl_mult: float = 3.0, threshold: float = 0.5, fill: str = "stop") ->
 EXITS = {"bracket": bracket, "trailing": trailing, "learned": learned, "holding_time": holding_time}
 
 
+def python_holding_time(bars: int = 10, sl_mult: float | None = None, fill: str = "stop") -> ExitRule:
+    """The same, as an exit in Python."""
+    return ExitRule(sl_mult, at_stop=fill == "stop", user=_held(int(bars)))
+
+
+@lru_cache
+def _held(bars: int) -> PythonExit:
+    """One object for equal settings, so that runs which share it share their states."""
+    return PythonExit("time", lambda v: v.held >= bars)
+
+
 @dataclass(frozen=True)
 class Run:
     """One parameter combination: positions of its signal, hold scores and sizer, and its exit."""
@@ -146,8 +160,16 @@ def _machine(users: Sequence[UserExit]) -> tuple[str, str]:
 
 
 def users_of(runs: Sequence[Run]) -> list[UserExit]:
-    """The distinct user exits of a set of runs, in the order by which their settings refer to them."""
-    return list(dict.fromkeys(r.exit.user for r in runs if r.exit.user is not None))
+    """The distinct SQL exits of a set of runs, in the order by which their settings refer to them."""
+    users = list(dict.fromkeys(r.exit.user for r in runs if r.exit.user is not None))
+    kinds = {isinstance(u, PythonExit) for u in users}
+    if len(kinds) > 1:
+        raise ValueError("exits in SQL and exits in Python need runs of their own")
+    return [] if True in kinds else users
+
+
+def in_python(runs: Sequence[Run]) -> bool:
+    return any(isinstance(r.exit.user, PythonExit) for r in runs)
 
 
 def _number(x: float | None) -> str:
@@ -201,7 +223,12 @@ def extract(df: DataFrame, signals: Sequence[Column], runs: Sequence[Run], fee_b
             size: Sequence[Column] = ()) -> DataFrame:
     """All trades of all runs on every fold: one row per closed position, tagged ``combo``."""
     users = users_of(runs)
-    packed = pack(df, signals, up, down, size, keys).withColumn("runs", run_column(runs_sql(runs, users), users=users))
+    packed = pack(df, signals, up, down, size, keys)
+    if in_python(runs):
+        kinds = ", ".join(f"`{k}` {packed.schema[k].dataType.simpleString()}" for k in keys)
+        rows = packed.select(*keys, "bars").mapInArrow(states.every_trade(runs, keys), f"{kinds}, combo int, {states.TRADE}")
+        return rows.withColumns(trade_columns(fee_bps))
+    packed = packed.withColumn("runs", run_column(runs_sql(runs, users), users=users))
     rows = packed.select(*keys, F.explode("runs").alias("r"))
     rows = rows.select(*keys, F.col("r.combo").alias("combo"), F.explode("r.trades").alias("t"))
     return rows.select(*keys, "combo", "t.*").withColumns(trade_columns(fee_bps))

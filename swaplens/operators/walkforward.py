@@ -1,9 +1,9 @@
 """Walk-forward selection and out-of-sample trading.
 
-Every parameter combination of every strategy is scanned once per fold. On fold k the
-combination with the best mean trade return is chosen; the trades of fold k+1 under that
-combination are already on the next row of the same instrument, so choosing is a ``lag`` and
-trading is an array lookup. The whole operator costs one exchange on the instrument key.
+Every parameter combination of every strategy is scanned once per fold, all of them in one pass
+over the bars of an instrument (``states``). On fold k the combination with the best mean trade return
+is chosen; the trades of fold k+1 under that combination are already there, so only they leave the group.
+The whole operator costs one exchange on the instrument key.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import FOLD_KEYS, KEYS
 from ..functions.indicators import with_features
-from . import scan
+from . import scan, states
 from .folds import as_one_fold, chunk
 from .signals import JMA_CROSS, SignalRule, combos, gated
 
@@ -158,8 +158,12 @@ def walk_forward(bars: DataFrame, strategies: Mapping[str, Strategy], n_splits:
         plans.append((name, need, s.fee_bps, runs))
     packed = scan.pack(frame, signals, up, down, sizes)
     users = scan.users_of([r for *_, runs in plans for r in runs])
-    every = ", ".join(_plan_sql(*p, users) for p in plans)
-    return _select_and_trade(packed.withColumn("plan", F.explode(F.expr(f"array({every})"))), users)
+    if users:  # exits in SQL are compiled into the state machine of the JVM
+        every = ", ".join(_plan_sql(*p, users) for p in plans)
+        return _select_and_trade(packed.withColumn("plan", F.explode(F.expr(f"array({every})"))), users)
+    walk = states.chosen_trades([states.Plan(name, max(need, 1), fee, tuple(runs)) for name, need, fee, runs in plans])
+    rows = packed.select(*FOLD_KEYS, "bars").groupBy(*KEYS).applyInArrow(walk, states.WALKED)
+    return _placed(rows)
 
 
 def fee_sql(fee_bps: float | Mapping[str, float]) -> str:
@@ -189,8 +193,12 @@ def _select_and_trade(rows: DataFrame, users: Sequence[scan.UserExit] = ()) -> D
     rows = rows.select(*KEYS, "variant", (F.col("fold") - 1).alias("fold"), start.alias("start"), "fee",
                        (-F.col("chosen.rank")).alias("combo"), F.col("chosen.mean").alias("is_mean_ret"),
                        F.explode(F.expr("runs[-chosen.rank].trades")).alias("t"))
-    rows = rows.select(*KEYS, "variant", "fold", "combo", "is_mean_ret", "fee", "start", "t.*").withColumns({
-        "entry_pos": F.col("start") + F.col("entry_i"), "exit_pos": F.col("start") + F.col("exit_i")})
+    return _placed(rows.select(*KEYS, "variant", "fold", "combo", "is_mean_ret", "fee", "start", "t.*"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Trades with their positions in the instrument's history and their returns."""
+    rows = rows.withColumns({"entry_pos": F.col("start") + F.col("entry_i"), "exit_pos": F.col("start") + F.col("exit_i")})
     return rows.withColumns(scan.trade_columns(F.col("fee"))).drop("fee", "start")
 
 

@@ -127,3 +127,55 @@ def test_an_exit_with_a_state_of_its_own(spark):
     rule = scan.ExitRule(None, user=scan.UserExit("fall", "v.close < 0.9D * v.state", "v.close", "greatest(v.state, v.close)"))
     got = scan.trades_of(df, F.col("sig"), rule, keys=["k"]).orderBy("entry_i").collect()
     assert [(r.entry_i, r.exit_i, r.exit_price, r.reason) for r in got] == [(0, 4, 10.7, "fall"), (6, 10, 13.0, "eod")]
+
+
+def packed_runs(df, signals, rule_list):
+    """The trades of both scans over the same packed folds: SQL in the JVM, and all states in one pass."""
+    from swaplens.operators import states
+
+    runs = [scan.Run(10 * i + j, i, r) for i in range(len(signals)) for j, r in enumerate(rule_list)]
+    packed = scan.pack(df, signals, up=[F.col("p")], down=[1 - F.col("p")], size=[F.col("p") * 2]).persist()
+    runs = [scan.Run(r.combo, r.signal, r.exit, 0 if r.exit.hold else None, 0 if k % 2 else None) for k, r in enumerate(runs)]
+    jvm = packed.withColumn("r", F.explode(scan.run_column(scan.runs_sql(runs)))).select(*FOLD_KEYS, "r.combo", F.explode("r.trades").alias("t")).select(*FOLD_KEYS, "combo", "t.*")
+    keys = "market string, symbol string, fold int"
+    one = packed.select(*FOLD_KEYS, "bars").mapInArrow(states.every_trade(runs, FOLD_KEYS), f"{keys}, combo int, {states.TRADE}")
+    return jvm, one
+
+
+def test_one_pass_over_all_states_equals_the_scan_of_each(bars):
+    df = with_atr(chunk(bars, 3), FOLD_KEYS)
+    df = df.withColumns({"a": F.signum(F.hash("date", "symbol") % 3).cast("int"), "b": F.signum(F.hash("symbol", "date", "close") % 5).cast("int"), "p": F.when(F.hash("date") % 7 != 0, F.abs(F.hash("date", "close") % 100) / 100.0)})
+    rules = [scan.bracket(1.0, 2.0), scan.bracket(0.5, 1.0, "close"), scan.trailing(1.5, 1.0), scan.trailing(1.0, 0.5, "close"), scan.learned(3.0, 0.4), scan.ExitRule(None, trail=1.0), scan.ExitRule(None, tp=0.7)]
+    jvm, one = packed_runs(df, [F.col("a"), F.col("b")], rules)
+    cols = jvm.columns
+    got, want = (sorted(map(tuple, x.select(*cols).collect())) for x in (one, jvm))
+    assert len(want) > 1000 and got == want
+
+
+def test_an_exit_in_python_equals_the_one_in_sql(bars):
+    """A state that is updated: leave when the close falls three percent below the best close since the entry."""
+    import numpy as np
+
+    df = with_atr(chunk(bars, 3), FOLD_KEYS).withColumn("sig", F.signum(F.hash("date", "symbol") % 3).cast("int"))
+    sql = scan.ExitRule(2.0, user=scan.UserExit("fall", "v.side * v.close < v.state - 0.03D * v.entry", "v.side * v.close", "greatest(v.state, v.side * v.close)"))
+    own = scan.PythonExit("fall", lambda v: v.side * v.close < v.state - 0.03 * v.entry, lambda v: v.side * v.close, lambda v: np.maximum(v.state, v.side * v.close))
+    jvm, python = (sorted(map(tuple, scan.trades_of(df, F.col("sig"), r).collect())) for r in (sql, scan.ExitRule(2.0, user=own)))
+    assert len(jvm) > 100 and python == jvm and {t[10] for t in jvm} >= {"fall", "stop"}
+
+
+def test_an_exit_in_python_cannot_look_ahead(bars):
+    """Trades that close before a day are the same whatever comes after it."""
+    import numpy as np
+
+    own = scan.PythonExit("two", lambda v: (v.state[:, 0] > 1) & (v.close > v.state[:, 1]), lambda v: np.stack([v.held * 0.0, v.close], 1), lambda v: np.stack([v.state[:, 0] + 1, v.close], 1))
+    df = with_atr(as_one_fold(bars), FOLD_KEYS).withColumn("sig", F.signum(F.hash("date", "symbol") % 3).cast("int"))
+    cut = 200
+    later = df.withColumn("close", F.when(F.col("idx") > cut, F.col("close") * (1 + F.abs(F.hash("date") % 50) / 100.0)).otherwise(F.col("close")))
+    before, after = (sorted(map(tuple, scan.trades_of(x, F.col("sig"), scan.ExitRule(3.0, user=own)).where(F.col("exit_i") <= cut).collect())) for x in (df, later))
+    assert before and before == after
+
+
+def test_exits_in_sql_and_in_python_do_not_mix(bars):
+    df = with_atr(as_one_fold(bars), FOLD_KEYS).withColumn("sig", F.lit(0))
+    with pytest.raises(ValueError, match="runs of their own"):
+        scan.extract(df, [F.col("sig")], [scan.Run(0, 0, scan.holding_time(3)), scan.Run(1, 0, scan.python_holding_time(3))])
