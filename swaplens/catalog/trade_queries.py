@@ -365,8 +365,7 @@ register("a1_daily_mark_to_market", f"variant:s {KEY} date:t gross:d cost:d ret:
 register("a2_equal_weight_portfolio", "variant:s market:s date:t ret:d turnover:d exposure:d n:i",
          lambda s, d: valuation.equal_weight(sums(s, d)), PF_SQL, "SELECT * FROM pf")
 register("a2_portfolio_all_listed", "variant:s market:s date:t ret:d n:i",
-         lambda s, d: valuation.equal_weight(valuation.portfolio_sums(valuation.daily_values(
-             pair_trades(s, d), bars(s, d), 5.0, listed=True), ["variant", "market"])), PF_SQL + """
+         lambda s, d: valuation.equal_weight(valuation.listed_sums(pair_trades(s, d), bars(s, d), 5.0)), PF_SQL + """
 every AS (SELECT market, date, count(*) AS n FROM bars GROUP BY market, date)""",
          "SELECT v.variant, e.market, e.date, coalesce(s.ret, 0) / e.n AS ret, e.n FROM every e JOIN (SELECT DISTINCT variant, market FROM sums) v "
          "ON v.market = e.market LEFT JOIN sums s ON s.variant = v.variant AND s.market = e.market AND s.date = e.date")

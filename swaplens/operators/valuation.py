@@ -1,7 +1,7 @@
 """Mark-to-market valuation of trades and equal-weight portfolios.
 
-A trade is unpacked to the positions it is held on, pre-aggregated per day, and meets the
-bars in one equality join on the full key, so no key holds more than one row per side. Gross
+Trades and bars meet per instrument; entries, exits and fills are events on its line of bars, and running
+sums over them give every series' daily values in the task that holds the bars. Only sums per date leave it. Gross
 return and cost stay separate columns: every cost multiple is ``gross - m * cost`` without
 valuing anything twice. Portfolios are sums per date; market sums roll up to global ones, and
 a left-out part is subtracted.
@@ -9,14 +9,22 @@ a left-out part is subtracted.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import KEYS, by_time, ratio
 from .folds import number_bars
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SUMS = ("ret", "turnover", "exposure", "n")
 
 
@@ -31,42 +39,90 @@ def with_positions(trades: DataFrame, bars: DataFrame) -> DataFrame:
     return trades
 
 
-def daily_values(trades: DataFrame, bars: DataFrame, cost_bps: Column | float, tags: Sequence[str] = ("variant",),
-                 listed: bool = False) -> DataFrame:
+def sweep(entry: np.ndarray, leave: np.ndarray, row: np.ndarray, weight: np.ndarray, price: np.ndarray, half: np.ndarray,
+          close: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gross return, cost and position of ``rows`` series on every bar of one instrument.
+
+    Trades are events on the line of bars: a weight enters after the entry bar and leaves on the exit bar, and the running
+    sum over events is what is held. Of trades that overlap, the position is that of the latest.
+    """
+    n = len(close)
+    prev = np.concatenate([[np.nan], close[:-1]])
+    prev = np.where(prev == 0, np.nan, prev)
+    held, count, out_weight, out_value, cost, position = (np.zeros((rows, n + 1)) for _ in range(6))
+    real = leave > entry
+    entry, leave, row, weight, price, half = (x[real] for x in (entry, leave, row, weight, price, half))
+    for line, step in ((held, weight), (count, np.ones(len(row)))):
+        np.add.at(line, (row, entry + 1), step)
+        np.add.at(line, (row, leave), -step)
+    held = np.where(np.cumsum(count, axis=1) > 0, np.cumsum(held, axis=1), 0.0)[:, :n]
+    np.add.at(out_weight, (row, leave), weight)
+    np.add.at(out_value, (row, leave), weight * price)
+    for at in (entry, leave):
+        np.add.at(cost, (row, at), half * np.abs(weight))
+    order = np.lexsort((leave, entry))
+    days = (leave - entry)[order]
+    day = np.arange(days.sum()) - np.repeat(np.cumsum(days) - days, days) + np.repeat(entry[order] + 1, days)
+    position[np.repeat(row[order], days), day] = np.repeat(weight[order], days)  # later trades overwrite
+    with np.errstate(invalid="ignore"):
+        moved = np.nan_to_num(close / prev, nan=1.0) - 1.0
+        fills = np.nan_to_num(out_value[:, :n] / prev - out_weight[:, :n], nan=0.0)
+    return held * moved + fills, cost[:, :n], position[:, :n]
+
+
+def daily_values(trades: DataFrame, bars: DataFrame, cost_bps: Column | float, tags: Sequence[str] = ("variant",)) -> DataFrame:
     """Daily gross return, cost, net return, position and turnover of every traded instrument.
 
     A position exists from the bar after the entry to the exit bar; the exit bar is valued at
     the fill. Half the round-trip cost falls on the entry bar and half on the exit bar. The
-    result has a row for every bar of an instrument that traded under the tags; with
-    ``listed`` also for instruments that did not.
+    result has a row for every bar of an instrument that traded under the tags. Trades and bars meet
+    per instrument (at most one bar per calendar day); what is dense is made there and never shuffled.
     """
     cost = cost_bps if isinstance(cost_bps, Column) else F.lit(float(cost_bps))
-    t = with_positions(trades, bars).where(F.col("exit_pos") > F.col("entry_pos"))
-    t = t.select(*tags, *KEYS, "entry_pos", "exit_pos", "exit_price", (F.col("direction") * F.col("size")).alias("w"),
-                 (cost / 2e4).alias("half"))
-    days = t.withColumn("pos", F.explode(F.expr("sequence(entry_pos, exit_pos + 1)")))
-    held = (F.col("pos") > F.col("entry_pos")) & (F.col("pos") <= F.col("exit_pos"))
-    last = F.col("pos") == F.col("exit_pos")
-    was_held = (F.col("pos") > F.col("entry_pos") + 1) & (F.col("pos") <= F.col("exit_pos") + 1)
-    order = F.col("entry_pos").cast("long") * (1 << 31) + F.col("exit_pos")  # one number: the buffers of a hash aggregate are primitive
-    per_day = days.groupBy(*tags, *KEYS, "pos").agg(
-        F.sum(F.when(held & ~last, F.col("w"))).alias("hold_w"),
-        F.sum(F.when(last, F.col("w"))).alias("exit_w"),
-        F.sum(F.when(last, F.col("w") * F.col("exit_price"))).alias("exit_value"),
-        F.sum(F.when(last | (F.col("pos") == F.col("entry_pos")), F.col("half") * F.abs("w"))).alias("cost"),
-        F.max_by(F.when(held, F.col("w")), F.when(held, order)).alias("now"),
-        F.max_by(F.when(was_held, F.col("w")), F.when(was_held, order)).alias("before"))
-    numbered = number_bars(bars.select(*KEYS, "date", "close")).withColumn("prev", F.lag("close").over(by_time(KEYS)))
-    scope = ["market"] if listed else list(KEYS)
-    grid = numbered.join(trades.select(*tags, *scope).distinct(), scope)
-    full = grid.join(per_day, [*tags, *KEYS, "pos"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    gross = (zero("hold_w") * (F.coalesce(ratio(F.col("close"), F.col("prev")), F.lit(1.0)) - 1.0)
-             + F.coalesce(ratio(F.col("exit_value"), F.col("prev")) - F.col("exit_w"), F.lit(0.0)))
-    out = full.select(*tags, *KEYS, "date", "pos", gross.alias("gross"), zero("cost").alias("cost"),
-                      zero("now").alias("position"), zero("before").alias("_before"))
-    return out.withColumns({"ret": F.col("gross") - F.col("cost"),
-                            "turnover": F.abs(F.col("position") - F.col("_before"))}).drop("_before")
+    t = with_positions(trades, bars)
+    t = t.select(*tags, *KEYS, F.col("entry_pos").cast("long"), F.col("exit_pos").cast("long"), F.col("exit_price").cast("double"),
+                 (F.col("direction") * F.col("size")).cast("double").alias("w"), (cost / 2e4).cast("double").alias("half"))
+    tags = list(tags)
+    kinds = {f.name: f.dataType.simpleString() for f in t.schema.fields}
+
+    def value(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("date")
+        close = right["close"].to_numpy().astype(float)
+        series = left.select(tags).to_pylist()
+        at: dict[tuple, int] = {}
+        row = np.array([at.setdefault(tuple(s.values()), len(at)) for s in series], np.int64)
+        numbers = {c: left[c].to_numpy() for c in ("entry_pos", "exit_pos", "w", "exit_price", "half")}
+        gross, paid, position = sweep(numbers["entry_pos"], numbers["exit_pos"], row, numbers["w"], numbers["exit_price"], numbers["half"], close, len(at))
+        before = np.concatenate([np.zeros((len(at), 1)), position[:, :-1]], axis=1)
+        n = len(close) * len(at)
+        first = [int(np.argmax(row == k)) for k in range(len(at))]
+        which = pa.array(np.repeat(np.array(first, np.int64), len(close)))
+        same = {c: left[c].combine_chunks().take(which) for c in tags}
+        keys = {c: right[f"_{c}"].combine_chunks().take(pa.array(np.zeros(n, np.int64))) for c in KEYS}
+        bar = np.tile(np.arange(len(close)), len(at))
+        return pa.table({**same, **keys, "date": right["date"].combine_chunks().take(pa.array(bar)), "pos": pa.array(bar, pa.int32()), "gross": gross.ravel(), "cost": paid.ravel(),
+                         "position": position.ravel(), "ret": (gross - paid).ravel(), "turnover": np.abs(position - before).ravel()})
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return value(left, right) if left.num_rows and right.num_rows else empty
+
+    columns = [f"`{c}` {kinds[c]}" for c in tags] + ["market string", "symbol string", "date date", "pos int", "gross double", "cost double", "position double", "ret double", "turnover double"]
+    made = T.StructType.fromDDL(", ".join(columns))
+    empty = to_arrow_schema(made).empty_table()  # where only one side has the instrument
+    names = [f"_{k}" for k in KEYS]  # trades may come from the same bars
+    line = bars.select(*[F.col(k).alias(n) for k, n in zip(KEYS, names)], "date", "close")
+    return t.groupBy(*KEYS).cogroup(line.groupBy(*names)).applyInArrow(both, made)
+
+
+def listed_sums(trades: DataFrame, bars: DataFrame, cost_bps: Column | float, tags: Sequence[str] = ("variant",)) -> DataFrame:
+    """``portfolio_sums`` per tags and market in which every listed instrument counts, traded or not.
+
+    Instruments are counted per market and date once for all tags; only sums per date meet the counts.
+    """
+    sums = portfolio_sums(daily_values(trades, bars, cost_bps, tags), [*tags, "market"]).drop("n")
+    every = bars.groupBy("market", "date").agg(F.count(F.lit(1)).alias("n"))
+    grid = trades.select(*tags, "market").distinct().join(every, "market")
+    return grid.join(sums, [*tags, "market", "date"], "left").fillna(0.0, [c for c in sums.columns if c in ("gross", "cost", *SUMS)])
 
 
 def portfolio_sums(daily: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -179,3 +179,35 @@ def test_exits_in_sql_and_in_python_do_not_mix(bars):
     df = with_atr(as_one_fold(bars), FOLD_KEYS).withColumn("sig", F.lit(0))
     with pytest.raises(ValueError, match="runs of their own"):
         scan.extract(df, [F.col("sig")], [scan.Run(0, 0, scan.holding_time(3)), scan.Run(1, 0, scan.python_holding_time(3))])
+
+
+def test_the_sweep_over_events_equals_a_walk_over_days():
+    """Overlapping, equal and reversed trades of several series, and a zero price."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(60):
+        n, rows = r.randint(2, 30), r.randint(1, 3)
+        close = np.array([r.choice([0.0, 1.0, 2.0, 4.0, 5.0]) if r.random() < 0.1 else r.uniform(1, 9) for _ in range(n)])
+        t = [(r.randrange(n), r.randrange(n), r.randrange(rows), r.uniform(-2, 2), r.uniform(1, 9), r.random()) for _ in range(r.randint(0, 9))]
+        got = valuation.sweep(*(np.array(c, k) for c, k in zip(zip(*t) if t else [[]] * 6, (np.int64, np.int64, np.int64, float, float, float))), close, rows)
+        want = np.zeros((3, rows, n))
+        for v in range(rows):
+            mine = sorted((x for x in t if x[2] == v and x[1] > x[0]), key=lambda x: (x[0], x[1]))
+            for d in range(n):
+                prev = close[d - 1] if d and close[d - 1] != 0 else None
+                want[0, v, d] = sum(x[3] for x in mine if x[0] < d < x[1]) * (close[d] / prev - 1 if prev else 0)
+                want[0, v, d] += sum(x[3] * x[4] for x in mine if x[1] == d) / prev - sum(x[3] for x in mine if x[1] == d) if prev else 0
+                want[1, v, d] = sum(x[5] * abs(x[3]) for x in mine if d in (x[0], x[1]))
+                want[2, v, d] = ([x[3] for x in mine if x[0] < d <= x[1]] or [0])[-1]
+        assert np.allclose(got, want, atol=1e-12)
+
+
+def test_listed_instruments_count_without_a_trade(spark, bars):
+    df = with_atr(chunk(bars, 2), FOLD_KEYS).withColumn("sig", F.when(F.col("symbol") == bars.agg(F.min("symbol")).first()[0], F.signum(F.hash("date") % 3)).otherwise(0).cast("int"))
+    t = scan.trades_of(df.where("fold = 0"), F.col("sig"), scan.bracket()).withColumn("variant", F.lit("v"))
+    sums = valuation.listed_sums(t, bars, 5.0).toPandas()
+    want = bars.join(t.select("market").distinct(), "market").groupBy("market", "date").count().toPandas()
+    assert len(sums) == len(want) and sums.n.sum() == want["count"].sum() and sums.exposure.max() == 1.0
