@@ -16,10 +16,12 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import KEYS, is_true
 from ..functions.indicators import FEATURES, features_known
 from . import labels
+from .model_store import ModelStore
 from .models import BUDGET, SMALL_BUDGET, ProbModel, TrainingData, pooled
 from .signals import SignalRule, adx_gate
 from .walkforward import Strategy, default_trades
@@ -102,20 +104,45 @@ class Fit:
 
 
 class ModelRegistry:
-    """Models of a run, each fitted once; a fit that cannot be made stays recorded with its reason."""
+    """Models of a run, each fitted once; a fit that cannot be made stays recorded with its reason.
 
-    def __init__(self, pools: Mapping[str, TrainingData], workers: int = 1):
-        self.pools, self.workers = dict(pools), workers
+    With a ``store``, models of earlier runs on the same training rows are loaded and new ones are kept there;
+    ``fitted`` counts the models that this run had to fit.
+    """
+
+    def __init__(self, pools: Mapping[str, TrainingData], workers: int = 1, store: ModelStore | None = None):
+        self.pools, self.workers, self.store = dict(pools), workers, store
+        self._new: list[str] = []
         self.entries: dict[tuple, tuple[Fit, ProbModel | ValueError]] = {}
         self.scorers: dict[tuple, Callable[[DataFrame], DataFrame]] = {}
 
+    @property
+    def fitted(self) -> int:
+        return len(self._new)
+
+    def made(self, f: Fit) -> ProbModel:
+        """The model of a fit, from the store if it is there."""
+        model = ProbModel(**dict(f.spec.budget))
+        rows = f.spec.training_rows(self.pools[f.pool], f.split, f.base).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            address = self.store.address(rows, model.params) if self.store else None
+            model.model = self.store.load(address) if self.store else None
+            if model.model is None:
+                model = model.fit(rows)
+                self._new.append(f.pool)
+                if self.store:
+                    self.store.save(address, model.model)
+        finally:
+            rows.unpersist()
+        return model
+
     def fit(self, wanted: Iterable[Fit]) -> None:
         """Fit all models not fitted before, ``workers`` at a time."""
         new = {f.key(): f for f in wanted if f.key() not in self.entries}
 
         def run(f: Fit) -> tuple[Fit, ProbModel | ValueError]:
             try:
-                return f, ProbModel(**dict(f.spec.budget)).fit(f.spec.training_rows(self.pools[f.pool], f.split, f.base))
+                return f, self.made(f)
             except ValueError as reason:
                 return f, reason
 

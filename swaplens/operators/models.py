@@ -7,6 +7,8 @@ those of a leaf-wise library; everything downstream only needs a score column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -25,6 +27,8 @@ from .labels import resolved_before
 BUDGET = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "minInstancesPerNode": 30, "seed": 42}
 SMALL_BUDGET = {**BUDGET, "maxIter": 50, "maxDepth": 3}
 
+ROWS_PER_PARTITION = 50_000  # of training rows in the boosting jobs
+
 
 class TrainingData:
     """Bars with features over each instrument's full history, written once for all fits."""
@@ -53,15 +57,15 @@ def pooled(frame: DataFrame, split, horizon: int, label: str = "label") -> DataF
         *FEATURES, F.col(label).cast("double").alias("label"))
 
 
-def with_class_weight(train: DataFrame) -> DataFrame:
-    """Add ``weight`` so that both classes carry half of the total."""
+def with_class_weight(train: DataFrame) -> tuple[DataFrame, int]:
+    """Add ``weight`` so that both classes carry half of the total; also the number of rows."""
     counts = {int(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}
     if not counts:
         raise ValueError("no eligible training rows before the freeze")
     if len(counts) < 2:
         raise ValueError("training labels contain a single class: cannot fit a classifier")
     n = sum(counts.values())
-    return train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])))
+    return train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))), n
 
 
 class ProbModel:
@@ -72,14 +76,25 @@ class ProbModel:
         self.model: PipelineModel | None = None
 
     def fit(self, train: DataFrame) -> "ProbModel":
+        """Rows are assembled and scaled once and kept in as few partitions as their number needs.
+
+        Boosting runs several short jobs for each tree; with a partition per block of rows their cost is that of the
+        rows and not of empty tasks.
+        """
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        vectors = None
         try:
+            weighted, n = with_class_weight(train)
+            before = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_raw", handleInvalid="keep"),
+                                      StandardScaler(inputCol="_raw", outputCol="_std", withMean=True)]).fit(weighted)
+            parts = math.ceil(n / ROWS_PER_PARTITION)
+            vectors = before.transform(weighted).select("_std", "label", "weight").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
             trees = GBTClassifier(featuresCol="_std", labelCol="label", weightCol="weight", predictionCol="_pred", **self.params)
             trees.setProbabilityCol("_prob").setRawPredictionCol("_margin")
-            stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="_raw", handleInvalid="keep"),
-                      StandardScaler(inputCol="_raw", outputCol="_std", withMean=True), trees]
-            self.model = Pipeline(stages=stages).fit(with_class_weight(train))
+            self.model = PipelineModel(stages=[*before.stages, trees.fit(vectors)])
         finally:
+            if vectors is not None:
+                vectors.unpersist()
             train.unpersist()
         return self
 

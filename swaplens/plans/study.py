@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import in_window
 from ..operators.cleaning import CleaningRules
 from ..operators.decisions import ModelRegistry, rule_gate, study_decisions
+from ..operators.model_store import ModelStore
 from ..operators.models import TrainingData
 from ..operators.signals import RULES
 from ..operators.walkforward import build_strategy, walk_forward
@@ -171,13 +172,16 @@ def learned_variants(bars: DataFrame, cfg: StudyConfig, strategy: str, market: s
     return _tag(trades, strategy, {f.name: f for f in cfg.freezes}), skipped
 
 
-def run_study(bars: DataFrame, cfg: StudyConfig, registry: ModelRegistry | None = None) -> tuple[DataFrame, DataFrame]:
+def run_study(bars: DataFrame, cfg: StudyConfig, registry: ModelRegistry | None = None,
+              store: ModelStore | None = None) -> tuple[DataFrame, DataFrame]:
     """``(trades, skipped)`` of the whole study; each branch's trades are written as they are made.
 
+    With a ``store``, a run that follows another on the same bars fits nothing.
+
     A learned variant that was fitted but has no trade in its window is in ``skipped`` too. Any
     object with the methods of ``ModelRegistry`` can stand in for it.
     """
-    registry = registry or ModelRegistry(study_pools(bars, cfg), workers=4)
+    registry = registry or ModelRegistry(study_pools(bars, cfg), workers=4, store=store)
     parts, skipped = [], []
     for s in cfg.strategies:
         parts.append(cut_lineage(rule_variants(bars, cfg, s)))

@@ -125,3 +125,37 @@ def test_study_with_models(bars):
     seen = {(r["market"], r["variant"]) for r in trades.select("market", "variant").distinct().collect()}
     missed = {(r["market"], r["variant"]) for r in skipped.collect()}
     assert {(m, v) for m in ("M0", "M1", "M2") for v in ("baseline", "rule_adx", "meta_label", "best_combined", "meta_label@transfer")} <= seen | missed
+
+
+def test_models_outlive_a_run_and_follow_their_training_rows(spark, bars, tmp_path):
+    """A second run fits nothing and scores alike; a changed bar refits only the pools that hold it."""
+    from swaplens.operators.model_store import MARK, ModelStore
+
+    folder = f"file://{tmp_path}/models"
+    meta = D.regime_filter("excursion", budget=TINY)
+
+    def registry(frame):
+        whole = TrainingData(frame)
+        pools = {m: whole.where(F.col("market") == m) for m in ("M0", "M1")}
+        r = D.ModelRegistry(pools, workers=2, store=ModelStore(spark, folder))
+        r.fit(f for m in pools for f in meta.fits(m, SPLIT, BASE))
+        return r
+
+    def scores(r, pool):
+        out, scorer = r.scorer(*meta.fits(pool, SPLIT, BASE))
+        return sorted(map(tuple, scorer(r.pools[pool].frame).select(*KEYS, "date", out).collect()))
+
+    first, second = registry(bars), registry(bars.repartition(3))
+    assert (first.fitted, second.fitted) == (2, 0)
+    assert scores(first, "M0") == scores(second, "M0")
+    changed = bars.withColumn("high", F.when((F.col("market") == "M1") & (F.year("date") < 1996), F.col("high") * 1.01).otherwise(F.col("high")))
+    third = registry(changed)
+    assert third.fitted == 1 and third._new == ["M1"]
+    late = bars.withColumn("close", F.when(F.col("date") > F.lit("2000-01-01"), F.col("close") * 1.01).otherwise(F.col("close")))
+    assert registry(late).fitted == 0  # bars after the freeze are in no training row
+    other = D.ModelRegistry(first.pools, store=ModelStore(spark, folder))
+    other.fit(D.regime_filter("excursion", budget={**TINY, "maxDepth": 1}).fits("M0", SPLIT, BASE))
+    assert other.fitted == 1  # another budget is another model
+    for mark in tmp_path.glob(f"models/*/{MARK}"):
+        mark.unlink()  # as after a driver that was lost while it saved
+    assert registry(bars).fitted == 2
