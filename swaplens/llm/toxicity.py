@@ -4,10 +4,13 @@ A token scores the logarithm of its odds to be in a toxic against another docume
 a share by its overall frequency; only significant tokens score. Documents are counted, not tokens, and equal texts once, so that
 a word which one document repeats weighs as one. A word that was never learned scores as its longest known beginning. Every
 token also costs a little, half way between the mean scores of both classes, so that a passage scores by density and length. One
-linear scan finds all maximal-scoring segments. The best score S of n tokens has chance E = K n exp(-lambda S) of arising in other
-text (lambda from their scores' moment equation, K from their best segments), and a logistic curve over -ln E gives the score.
+linear scan finds all maximal-scoring segments. A segment of score S in n tokens has chance E = K n exp(-lambda S) of arising in other
+text (lambda from their scores' moment equation, K from their best segments); the sum of the r best normalised scores has a
+chance of its own, the smallest over r counts, and a logistic curve over its logarithm gives the score.
 
-Tokens are learned from one part of the labelled rows and the calibration from another, so neither flatters the other.
+Labelled rows that are near copies of each other (by their words, in any order) have one vote: thousands of copies
+of a text say no more about its words than the text. Tokens are learned from one part of these groups and
+the calibration from another, so neither flatters the other.
 """
 
 from __future__ import annotations
@@ -22,14 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swaplens.llm.common import components, written
 from swaplens.llm.decontamination import words_of
 
 TOXIC_ROWS, OTHER_ROWS = 8_000, 16_000  # labelled rows that are learned from at most, the smallest by hash of their id
-TOKENS = 100_000  # significant tokens in the model at most, the most significant ones
+SKETCH, BAND = 64, 4  # minima of hashes in a row's sketch, and how many of them make a band
+ALIKE = 0.6  # share of equal minima from which two rows are near copies
 PRIOR = 5.0  # documents that the Dirichlet prior weighs as much as, shared out by overall frequency
 FLAT = 0.5  # and what it adds for every token alike
 CLEAR = 3.0  # standard errors from zero at which a token is significant
 STEMS = (5, 6, 7)  # code points of the beginnings of words that stand for unknown words
+SUMMED = 1_000  # best segments of a text whose sums are tried; a longer sum is never reached, as its chance has a bound
+NOTHING = 0.49  # the score of a text without any passage at most: it is never predicted toxic
 SIGNIFICANT = 0.01  # a passage is reported if less than so many are expected by chance
 
 JUDGED = "struct<score: double, passages: array<struct<start: bigint, end: bigint, score: double>>>"
@@ -111,12 +118,53 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit(""))) % 5 == 0
 
 
+def sketches(text: Column) -> Column:
+    """The minima of SKETCH hashes over the distinct words of a text; a text without words has zeros."""
+
+    @F.arrow_udf("array<bigint>")
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import xxhash
+
+        r = np.random.default_rng(11)
+        mul, add = (r.integers(1, 1 << 31, SKETCH, dtype=np.uint64) for _ in range(2))
+        for batch in batches:
+            out = []
+            for t in batch:
+                low = np.full(SKETCH, 0, np.uint64)
+                words = list(set(words_of(t.as_py())))
+                for at in range(0, len(words), 100_000):
+                    h = np.fromiter((xxhash.xxh32_intdigest(w) for w in words[at : at + 100_000]), np.uint64)
+                    part = np.array([((h * m + a) & np.uint64((1 << 62) - 1)).min() for m, a in zip(mul, add)], np.uint64)
+                    low = np.minimum(low, part) if at else part
+                out.append(low.astype(np.int64))
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    return sketch(text)
+
+
+def one_vote_each(rows: DataFrame) -> DataFrame:
+    """One of the labelled rows (_id, _text, _toxic) for each group of near copies and label, with its `_group`.
+
+    Rows that share a band are compared with the smallest of it by their whole sketches. The rows are the bounded sample.
+    """
+    kept = written(rows.withColumn("_sketch", sketches(F.col("_text"))), "toxic-sample")
+    slots = F.array(*(F.struct(F.lit(k).alias("k"), F.slice("_sketch", k + 1, BAND).alias("v")) for k in range(0, SKETCH, BAND)))
+    bands = kept.select("_id", "_sketch", F.explode(slots).alias("_band"))
+    first = bands.groupBy("_band").agg(F.min(F.struct("_id", "_sketch")).alias("_first"))
+    met = bands.join(first, "_band").filter("_id <> _first._id")
+    same = F.expr("aggregate(zip_with(_sketch, _first._sketch, (x, y) -> CAST(x = y AS INT)), 0, (n, x) -> n + x)")
+    links = met.filter(same >= ALIKE * SKETCH).select(F.col("_id").alias("a"), F.col("_first._id").alias("b")).distinct()
+    found = kept.join(components(links, "toxic-links"), kept["_id"] == F.col("node"), "left").withColumn("_group", F.coalesce("root", "_id"))
+    votes = found.groupBy("_group", "_toxic").agg(F.min(F.struct("_id", "_text")).alias("_one"))
+    return written(votes.select("_group", "_toxic", F.col("_one._text").alias("_text")), "toxic-votes")
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model, from a bounded sample of labelled rows; without toxic rows or without others nothing ever scores."""
     sample, share = _sample(labels, id_col, label_col)
     texts = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     rows = texts.join(F.broadcast(sample), "_id")  # at most TOXIC_ROWS + OTHER_ROWS ids
-    rows = rows.withColumn("_later", F.crc32(F.col("_id").cast("string")) % 5 == 4).select("_text", "_toxic", "_later")
+    rows = one_vote_each(rows).withColumn("_later", F.crc32(F.col("_group").cast("string")) % 4 == 0).select("_text", "_toxic", "_later")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
@@ -130,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         tokens = sorted(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_pydict({"token": tokens, "other": [found[0][t] for t in tokens], "toxic": [found[1][t] for t in tokens]}, pa.schema([("token", pa.binary()), ("other", pa.int64()), ("toxic", pa.int64())]))
 
-    counted = rows.filter("NOT _later").select("_text", "_toxic").distinct().mapInArrow(count, "token binary, other long, toxic long").groupBy("token").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counted = rows.filter("NOT _later").select("_text", "_toxic").mapInArrow(count, "token binary, other long, toxic long").groupBy("token").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     size = counted.filter(F.octet_length("token") == 0).select("other", "toxic").first()
     if size is None or not size[0] or not size[1]:
         return Model({}, 1.0, 1.0, 1.0, 1.0, -50.0)
@@ -138,8 +186,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = F.lit(FLAT) + (F.col("other") + F.col("toxic")) * (PRIOR / (n0 + n1))
     odds = F.log((F.col("toxic") + prior) / (n1 + PRIOR - F.col("toxic") - prior)) - F.log((F.col("other") + prior) / (n0 + PRIOR - F.col("other") - prior))
     sure = odds / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
-    picked = counted.filter(F.octet_length("token") > 0).select("token", odds.alias("odds"), sure.alias("sure")).filter(F.abs("sure") >= CLEAR).orderBy(F.desc(F.abs("sure")), "token").limit(TOKENS)
-    known = {bytes(r.token): float(r.odds) for r in picked.collect()}  # bounded by TOKENS
+    picked = counted.filter(F.octet_length("token") > 0).select("token", odds.alias("odds"), sure.alias("sure")).filter(F.abs("sure") >= CLEAR)
+    known = {bytes(r.token): float(r.odds) for r in picked.collect()}  # tokens of the bounded sample, those that several groups share
     return calibrated(rows, known, share)
 
 
@@ -169,17 +217,34 @@ def calibrated(rows: DataFrame, known: dict[bytes, float], share: dict[int, floa
         scores = Scores(shared.value)
         for batch in batches:
             found = [passages(t, scores, cost) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"n": [n for n, _ in found], "s": [max((p[2] for p in ps), default=0.0) for _, ps in found], "y": batch.column(1)}, pa.schema([("n", pa.int64()), ("s", pa.float64()), ("y", pa.int32())]))
+            yield pa.RecordBatch.from_pydict({"n": [n for n, _ in found], "s": [sorted((p[2] for p in ps), reverse=True)[:SUMMED] for _, ps in found], "y": batch.column(1)}, pa.schema([("n", pa.int64()), ("s", pa.list_(pa.float64())), ("y", pa.int32())]))
 
-    data = later.mapInArrow(best, "n long, s double, y int").collect()  # one row for each sampled document
-    n, s, y = (np.array(v, np.float64) for v in zip(*((max(1, r["n"]), r["s"], r["y"]) for r in data)))
+    data = later.mapInArrow(best, "n long, s array<double>, y int").collect()  # one row for each sampled document
+    n, y = (np.array(v, np.float64) for v in zip(*((max(1, r["n"]), r["y"]) for r in data)))
+    top = np.array([max(r["s"], default=0.0) for r in data])
     other = y == 0
-    scale = float(other.sum() / (n[other] * np.exp(-decay * s[other])).sum())
-    evidence = decay * s - np.log(scale * n)
-    slope, offset = _logistic(evidence, y, np.where(y == 1, 1 / share.get(1, 1), 1 / share.get(0, 1)))
+    scale = float(other.sum() / (n[other] * np.exp(-decay * top[other])).sum())
+    x = np.array([evidence(max(1, r["n"]), r["s"], decay, scale) for r in data])
+    slope, offset = _logistic(x, y, np.where(y == 1, 1 / share.get(1, 1), 1 / share.get(0, 1)))
     return Model(known, cost, decay, scale, slope, offset)
 
 
+def evidence(n: int, scores: list[float], decay: float, scale: float) -> float:
+    """Minus the logarithm of the smallest chance of the r best segments of n tokens, over r.
+
+    The sum T of r normalised scores decay * S - ln(scale * n) has the chance exp(-T) T^(r-1) / (r! (r-1)!) where T is large; each
+    further segment costs a factor of two, as all r are tried.
+    """
+    base = math.log(scale * n)
+    best = total = decay * max(scores, default=0.0) - base
+    for r, s in enumerate(sorted(scores, reverse=True)[1:SUMMED], 2):
+        total += decay * s - base
+        if total <= r * (r - 1):
+            break
+        best = max(best, total - (r - 1) * (math.log(total) + math.log(2)) + math.lgamma(r + 1) + math.lgamma(r))
+    return best
+
+
 def _decay(values: np.ndarray, weights: np.ndarray) -> float:
     """The positive root of E[exp(r x)] = 1, where the mean of x is negative; 1 if nothing scores above zero."""
     share = weights / weights.sum()
@@ -225,10 +290,11 @@ def judged(text: Column, model: Model) -> Column:
             out = []
             for text in batch:
                 n, found = passages(text.as_py(), scores, m.cost)
-                evidence = lambda s: m.decay * s - math.log(m.scale * max(1, n))  # noqa: B023, E731
-                top = min(50.0, max(-50.0, evidence(max((s for _, _, s in found), default=0.0))))
+                alone = lambda s: evidence(max(1, n), [s], m.decay, m.scale)  # noqa: B023, E731
+                top = min(50.0, max(-50.0, evidence(max(1, n), [s for _, _, s in found], m.decay, m.scale)))
                 score = 1 / (1 + math.exp(-min(30.0, max(-30.0, m.slope * top + m.offset))))
-                out.append({"score": score, "passages": [{"start": a, "end": b, "score": s} for a, b, s in found if evidence(s) >= -math.log(SIGNIFICANT)]})
+                score = score if found else min(score, NOTHING)
+                out.append({"score": score, "passages": [{"start": a, "end": b, "score": s} for a, b, s in found if alone(s) >= -math.log(SIGNIFICANT)]})
             yield pa.array(out, kind)
 
     return judge(F.coalesce(text.cast("string"), F.lit("")))

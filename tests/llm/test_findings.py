@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from swaplens.llm import html_text, neighbours, secrets, toxicity
 from tests.llm.conftest import SCHEMA, prose
@@ -266,3 +267,34 @@ def test_recall_on_the_given_vectors(spark):
     got = neighbours.search(df).collect()
     hit = sum(any(i == r.vec_id for i, _ in want[r.query_id]) for r in got)
     assert hit >= 0.95 * sum(map(len, want.values()))
+
+
+def test_near_copies_of_a_labelled_row_have_one_vote(spark):
+    """Hundreds of copies with their words shuffled and some replaced teach no more than one of them."""
+    r = random.Random(12)
+    rows, labels = toxic_rows(500, 3)
+    toxic = [t for i, t, *_ in rows if t and dict((a, b) for a, b, _ in labels).get(i) == 1][:3]
+    more, marks = [], []
+    for k in range(600):
+        words = toxic[k % 3].split()
+        r.shuffle(words)
+        words[0] = f"new{k}"
+        more.append((10_000 + k, " ".join(words)))
+        marks.append((10_000 + k, 1))
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + more, "doc_id long, text string")
+    known = spark.createDataFrame([(i, y) for i, y, _ in labels] + marks, "doc_id long, toxic int")
+    votes = toxicity.one_vote_each(docs.join(known, "doc_id").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("toxic").alias("_toxic")))
+    n = {x["_toxic"]: x["count"] for x in votes.groupBy("_toxic").count().collect()}
+    assert n[1] <= sum(y == 1 for _, y, _ in labels) + 30  # of 600: a band may meet another text first
+    truth = {i: y for i, y, _ in labels}
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(docs, known).collect()}
+    clean = [i for i, y in truth.items() if y == 0]
+    assert sum(got[i] for i in clean) <= 0.05 * len(clean)
+    assert sum(got[i] for i, y in truth.items() if y == 1) >= 0.9 * sum(truth.values())
+
+
+def test_several_passages_weigh_more_than_the_best_of_them():
+    one = toxicity.evidence(1000, [14.0], 1.0, 0.1)
+    assert toxicity.evidence(1000, [14.0, 13.0, 12.0], 1.0, 0.1) > one == pytest.approx(14 - np.log(100))
+    assert toxicity.evidence(1000, [14.0, 1.0], 1.0, 0.1) == one
+    assert toxicity.evidence(1000, [], 1.0, 0.1) == pytest.approx(-np.log(100))
