@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swaplens.llm import vocabularies as V
-from swaplens.llm.common import keyed_text, new_folder, shifted
+from swaplens.llm.common import keyed_text, new_folder, shifted, written
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,7 +73,7 @@ def checked(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame
 
     rows = read(spark, path, id_col).select(id_col, "_at", "_part", "tokens")
     found = rows.mapInArrow(digests, f"`{id_col}` long, _at long, _part int, n_tokens long, ids_crc32 long")
-    return shifted(found, F.col("n_tokens")).select(id_col, F.col("before").alias("start"), "n_tokens", "ids_crc32")
+    return shifted(written(found, "token-digests"), F.col("n_tokens")).select(id_col, F.col("before").alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,17 @@ LONGEST = 64  # longer pieces are encoded and not kept
 STOPPED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
+#: Lower-case letters that normalizers leave as they are; a word of them is one piece of a text.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def byte_of() -> dict[str, int]:
+    """The byte for each character in which byte-level vocabularies are written: itself if it prints, else 256 and on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or (b >= 0xA1 and b != 0xAD)]
+    hidden = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -78,7 +89,18 @@ class WordEncoder:
     def __init__(self, path: str, cached: int = CACHED):
         self.tokenizer, self.cached = load(path), cached
         self.by_word = drops_white_space(self.tokenizer)
-        self.known = Known(self.encode, True, {"": b""})
+        self.known = Known(self.piece, True, {"": b""})
+        char = {b: c for c, b in byte_of().items()}
+        self.letters = {c: "".join(map(char.__getitem__, chr(c).encode())) for c in range(0xDF, 0x100)}
+        self.model = self.tokenizer.model
+        # a plain word needs the merges only, if the tokenizer does with it what byte-level ones do
+        self.plain = all(self.merged(w) == self.encode(w) for w in ("the", "zürich", "straße", "naïveté", "ÿæøð", "qxzvw"))
+
+    def merged(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.translate(self.letters))]).tobytes()
+
+    def piece(self, word: str) -> bytes:
+        return self.merged(word) if self.plain and PLAIN.fullmatch(word) else self.encode(word)
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
