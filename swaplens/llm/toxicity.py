@@ -36,6 +36,7 @@ FLAT = 0.5  # and what it adds for every token alike
 CLEAR = 3.0  # standard errors from zero at which a token is significant
 STEMS = (5, 6, 7)  # code points of the beginnings of words that stand for unknown words
 SUMMED = 1_000  # best segments of a text whose sums are tried; a longer sum is never reached, as its chance has a bound
+RIDGE = 1e-4  # of the logistic curve, on standardised evidence
 NOTHING = 0.49  # the score of a text without any passage at most: it is never predicted toxic
 SIGNIFICANT = 0.01  # a passage is reported if less than so many are expected by chance
 
@@ -261,18 +262,31 @@ def _decay(values: np.ndarray, weights: np.ndarray) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and offset of a logistic curve, by Newton's method with a little ridge."""
+    """Slope (not negative) and offset of a logistic curve with a little ridge, by Newton's method.
+
+    The loss is convex; a step is halved until it lowers the loss, so that the search can neither cycle nor run away.
+    """
     x = np.clip(x, -50, 50)
-    a, b = 0.1, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([(weight * (p - y) * x).sum() + 1e-3 * a, (weight * (p - y)).sum() + 1e-3 * b])
+    mid, wide = float(x.mean()), max(float(x.std()), 1e-9)
+    z, weight = (x - mid) / wide, weight / weight.sum()
+
+    def loss(a: float, b: float) -> float:
+        return float((weight * (np.logaddexp(0, a * z + b) - y * (a * z + b))).sum()) + RIDGE * (a * a + b * b) / 2
+
+    a, b = 0.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -500, 500)))
+        g = np.array([(weight * (p - y) * z).sum() + RIDGE * a, (weight * (p - y)).sum() + RIDGE * b])
         w = weight * p * (1 - p)
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
-        a, b = a - step[0], b - step[1]
-    return max(float(a), 1e-6), float(b)
+        h = np.array([[(w * z * z).sum() + RIDGE, (w * z).sum()], [(w * z).sum(), w.sum() + RIDGE]])
+        step, now, size = np.linalg.solve(h, g), loss(a, b), 1.0
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        if size <= 1e-6 or float(np.abs(size * step).max()) < 1e-9:
+            break
+        a, b = a - size * step[0], b - size * step[1]
+    slope = max(a / wide, 1e-6)
+    return float(slope), float(b - a * mid / wide)
 
 
 def judged(text: Column, model: Model) -> Column:
