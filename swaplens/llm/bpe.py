@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swaplens.llm.vocabularies import LONGEST
+from swaplens.llm.vocabularies import LONGEST, byte_of
 
 #: Fixed value: how byte-level tokenizers part a text into words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,13 +29,6 @@ GROUP = 500_000  # characters of texts whose words are proposed and verified tog
 CACHED = 300_000  # words a worker keeps; about 70 MB
 
 
-def _byte_of() -> dict[str, int]:
-    """The byte for each character in which byte-level vocabularies are written: itself if it prints, else 256 and on."""
-    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or (b >= 0xA1 and b != 0xAD)]
-    hidden = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class Merges:
     """A vocabulary and its merges as arrays: `first` and `last` part of each token, and the rank of its merge (-1: none)."""
 
@@ -50,7 +43,7 @@ class Merges:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added) or len(added) > 1:
             raise ValueError("only one added token, taken literally, is supported")
         self.special = {t["content"]: t["id"] for t in added}
-        as_byte = _byte_of()
+        as_byte = byte_of()
         self.vocab = {bytes(map(as_byte.__getitem__, token)): i for token, i in model["vocab"].items() if token not in self.special}
         size = max([*self.vocab.values(), *self.special.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
