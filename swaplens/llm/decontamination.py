@@ -47,7 +47,13 @@ class Benchmark:
             sequence += [*ids, 0]
         self.sequence = np.array(sequence + [0] * (window + 1), np.int64)
         self.names = [sorted(set(names)) for names, _ in of_window.values()]
-        self.starts = [starts for _, starts in of_window.values()]
+        order = suffix_array(self.sequence, _left(self.sequence))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        #: where each window stands in the benchmark, by the order of the suffixes there; `first`: where its places begin
+        places = [np.array(starts, np.int64) for _, starts in of_window.values()]
+        self.first = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int64)
+        self.places = np.concatenate([np.zeros(0, np.int64), *(p[np.argsort(rank[p])] for p in places)])
         self.lengths = np.array([len(w) for w in of_window], np.int64)
         self.windows = np.zeros((len(of_window), window), np.int64)
         for row, w in zip(self.windows, of_window):
@@ -75,6 +81,12 @@ def suffix_array(sequence: np.ndarray, left: np.ndarray) -> np.ndarray:
             return np.argsort(rank, kind="stable")
 
 
+def _left(sequence: np.ndarray) -> np.ndarray:
+    """How many words each position has before the next 0."""
+    ends, at = np.flatnonzero(sequence == 0), np.arange(len(sequence))
+    return ends[np.searchsorted(ends, at)] - at
+
+
 def _bound(sequence: np.ndarray, order: np.ndarray, bench: Benchmark, after: bool) -> np.ndarray:
     """For each window, how many suffixes come before it (`after`: or start with it)."""
     low, high = np.zeros(len(bench.lengths), np.int64), np.full(len(bench.lengths), len(order), np.int64)
@@ -102,7 +114,7 @@ def search(texts: list[str], bench: Benchmark) -> list[dict]:
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     whole = np.concatenate([x for w in split for x in (w, [0])]).astype(np.int64)
     ends = np.flatnonzero(whole == 0)
-    left = ends[np.searchsorted(ends, np.arange(len(whole)))] - np.arange(len(whole))
+    left = _left(whole)
     run = left + np.arange(len(whole)) - np.concatenate([[-1], ends])[np.searchsorted(ends, np.arange(len(whole)))] - 1
     kept = np.flatnonzero(run >= bench.shortest)  # runs long enough, and the 0 after each
     if not kept.size:
@@ -116,10 +128,7 @@ def search(texts: list[str], bench: Benchmark) -> list[dict]:
     if not which.size:
         return found
     at = order[np.repeat(low, times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)]
-    longest = np.zeros(len(at), np.int64)
-    for k in range(max(len(bench.starts[w]) for w in np.unique(which))):  # windows of several items: each one's continuation
-        first = np.array([s[k] if k < len(s) else -1 for s in bench.starts])[which]
-        longest = np.maximum(longest, _extent(sequence, at, bench.sequence, first, bench.lengths[which]))
+    longest = _longest(sequence, at, which, bench)
     place = kept[at]
     doc = np.searchsorted(starts, place, "right") - 1
     turn = np.lexsort((place, doc))
@@ -142,16 +151,32 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values[first], first, np.concatenate([first[1:], [len(values)]])
 
 
-def _extent(sequence: np.ndarray, at: np.ndarray, other: np.ndarray, start: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """How many words agree from `at` and `start` on, of which `known` are known to; 0 where `start` is -1."""
-    size = np.where(start < 0, 0, known)
-    live = np.flatnonzero(start >= 0)
+def _longest(sequence: np.ndarray, at: np.ndarray, which: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """Words of the longest match from each `at`, where window `which` stands, over all places of that window.
+
+    A window's places are in the order of their suffixes, so a binary search finds the two between which the document's
+    suffix belongs; no other agrees in more words.
+    """
+    low, high = bench.first[which], bench.first[which + 1]
+    best = bench.lengths[which].copy()
+    below, above = best.copy(), best.copy()  # words in common with the bounds, and with all between them the lesser
+    while (open_ := np.flatnonzero(low < high)).size:
+        mid = (low[open_] + high[open_]) // 2
+        size, smaller = _extent(sequence, at[open_], bench.sequence, bench.places[mid], np.minimum(below[open_], above[open_]))
+        best[open_] = np.maximum(best[open_], size)
+        low[open_[smaller]], below[open_[smaller]] = mid[smaller] + 1, size[smaller]
+        high[open_[~smaller]], above[open_[~smaller]] = mid[~smaller], size[~smaller]
+    return best
+
+
+def _extent(sequence: np.ndarray, at: np.ndarray, other: np.ndarray, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words agree from `at` and `start` on, of which `known` are known to, and whether `other` is smaller there."""
+    size, live = known.copy(), np.arange(len(at))
     while live.size:
-        word = sequence[np.minimum(at[live] + size[live], len(sequence) - 1)]
-        same = (word != 0) & (word == other[np.minimum(start[live] + size[live], len(other) - 1)])
-        live = live[same]
+        word = sequence[at[live] + size[live]]
+        live = live[(word != 0) & (word == other[start[live] + size[live]])]
         size[live] += 1
-    return size
+    return size, other[start + size] < sequence[at + size]
 
 
 def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> Iterator[Benchmark]:

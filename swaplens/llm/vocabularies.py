@@ -20,7 +20,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 
 CACHED = 700_000  # pieces a worker keeps; about 150 MB
 LONGEST = 64  # longer pieces are encoded and not kept
-GROUP = 4_000_000  # code points of texts whose words are looked up together
+GROUP = 1_500_000  # code points of texts whose words are looked up together
 
 
 #: A word of Latin letters and the stop after it: no token spans both, and each letter has one lower-case letter.
