@@ -2,18 +2,23 @@
 
 The values that the patterns find are labelled credentials. From a bounded sample of them (FIT values a kind, the smallest by
 hash) a prefix tree is grown and its statistically compatible states are merged (Hoeffding's bound), which gives a
-probabilistic automaton of each kind's format; tokens of running text give one more, the background. All other
-long tokens of all texts are then scored by the logarithm of their likelihood under the best format over that under the background.
+probabilistic automaton of each kind's format. One more, the background, is gathered by Spark over every other token of every text:
+its state is the last character, so it is of bounded size and no token is rare enough to be learned by heart. All other tokens of all texts, and what is left of
+a token beside a finding, are then scored by the logarithm of their likelihood under the best format over that under the background.
+A format's steps are shrunk towards the background's, so that one with few values says little instead of nothing.
 """
 
+
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swaplens.llm.common import written
@@ -23,22 +28,26 @@ INFERRED = "inferred"
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more, from its first digit to its last
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+SHORTEST = 8  # code points of a token that is scored
 NAMES = ("passw", "secret", "token", "apikey", "api_key")
 
-FIT = 1_000  # values of each kind, and of the background, that automata are fitted to
-LEAST = 20  # kinds with fewer values give no automaton
+FIT = 1_000  # values of each kind that automata are fitted to
+LONGEST = 256  # code points of a value that may be in that sample; longer ones are found and scored, but not learned from
 MERGE = 0.05  # significance at which states are held to differ
+SHRINK = 5.0  # steps that the background counts for in each state of a format, and characters whatever came before in each state of the background
 EVIDENCE = 20.0  # natural logarithm of the likelihood ratio that a finding needs
+EDGE = "\n"  # stands before a token's first and after its last character
 
-SCAN = pa.struct(
-    [("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))), ("rest", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])))]
-)
-SCAN_DDL = "struct<base: array<struct<kind: string, start: bigint, end: bigint, value: string>>, rest: array<struct<start: bigint, end: bigint, value: string>>>"
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+BASE = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
+FOUND = pa.struct([("base", pa.list_(BASE)), ("inferred", pa.list_(SPAN))])
+FOUND_DDL = "struct<base: array<struct<kind: string, start: bigint, end: bigint, value: string>>, inferred: array<struct<start: bigint, end: bigint>>>"
 
 
-def scan(text: str) -> dict:
-    """`base`: what the fixed patterns find, by start and kind; `rest`: all other long tokens. Offsets are code points."""
+def scan(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, int, str]]]:
+    """What the fixed patterns find (kind, start, end, value), by start and kind; all other tokens and parts of tokens. Offsets are code points."""
     base = []
     low = text.lower()
     if any(name in low for name in NAMES):
@@ -50,13 +59,17 @@ def scan(text: str) -> dict:
         base += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     base.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     rest, k, reach = [], 0, 0
-    for start, end, value in tokens:  # both by start: one pass tells which tokens touch a finding
+    for start, end, _ in tokens:  # both by start: one pass tells what findings leave of each token
+        at = max(start, reach)
         while k < len(base) and base[k][1] < end:
+            if base[k][1] - at >= SHORTEST:
+                rest.append((at, base[k][1], text[at : base[k][1]]))
             reach = max(reach, base[k][2])
+            at = max(at, reach)
             k += 1
-        if reach <= start:
-            rest.append((start, end, value))
-    return {"base": [dict(zip(("kind", "start", "end", "value"), b)) for b in base], "rest": [dict(zip(("start", "end", "value"), r)) for r in rest]}
+        if end - at >= SHORTEST:
+            rest.append((at, end, text[at:end]))
+    return base, rest
 
 
 class Automaton:
@@ -75,7 +88,6 @@ class Automaton:
                 at = self.next[at][c]
             self.stops[at] += 1
         self._merge()
-        self.letters = len({c for t in self.times for c in t}) + 1
 
     def _state(self) -> int:
         self.next.append({})
@@ -133,77 +145,141 @@ class Automaton:
                 kept.append(target)
                 settled.add(target)
 
-    def frozen(self) -> tuple[dict[tuple[int, str], tuple[float, int]], dict[int, float], float]:
-        """Steps, ends and the cost of what was never seen, as logarithms: what scoring needs."""
-        steps, ends = {}, {}
+    def frozen(self) -> Format:
+        """Only the states that are left, with their counts: what scoring needs."""
         live, todo = {0}, [0]
         while todo:
-            at = todo.pop()
-            for to in self.next[at].values():
-                if to not in live:
-                    live.add(to)
-                    todo.append(to)
-        share = lambda seen, at: math.log((seen + 1 / 80) / (self._seen(at) + (self.letters + 80) / 80))
-        for at in live:
-            ends[at] = share(self.stops[at], at)
-            steps |= {(at, c): (share(n, at), self.next[at][c]) for c, n in self.times[at].items()}
-            steps[at, ""] = (share(0, at), -1)
-        return steps, ends, math.log(1 / (self.letters + 80))
-
-
-def likelihood(model, value: str) -> float:
-    steps, ends, unseen = model
+            new = set(self.next[todo.pop()].values()) - live
+            live |= new
+            todo += new
+        steps = {(at, c): (n, self.next[at][c]) for at in live for c, n in self.times[at].items()}
+        return Format(steps, {at: self.stops[at] for at in live}, {at: self._seen(at) for at in live})
+
+
+class Format(NamedTuple):
+    """A fitted automaton: (times, next state) of each state's characters, its ends, and how often it was seen."""
+
+    steps: dict[tuple[int, str], tuple[int, int]]
+    stops: dict[int, int]
+    seen: dict[int, int]
+
+
+class Background:
+    """Chances of a character after another, from counts of all pairs; they are shrunk to the chances after any other."""
+
+    def __init__(self, pairs: dict[str, int]):
+        self.pairs, self.single, self.before = pairs, Counter(), Counter()
+        for pair, n in pairs.items():
+            self.before[pair[0]] += n
+            self.single[pair[1]] += n
+        self.all = sum(pairs.values())
+
+    def chance(self, before: str, c: str) -> float:
+        p = (self.single[c] + 1) / (self.all + len(CHARACTERS) + 1)
+        return (self.pairs.get(before + c, 0) + SHRINK * p) / (self.before[before] + SHRINK)
+
+    def chances(self, value: str) -> list[float]:
+        """Of each character of `value` and of its end."""
+        return [self.chance(a, b) for a, b in zip(EDGE + value, value + EDGE)]
+
+
+def evidence(model: Format, value: str, chances: list[float]) -> float:
+    """Logarithm of the likelihood of `value` under a format over that under the background, of which `chances` are.
+
+    A character that a state never saw leaves the automaton where it is, at the share that the background has of that state.
+    """
+    steps, stops, seen = model
     at, total = 0, 0.0
-    for c in value:
-        step = steps.get((at, c)) or steps.get((at, "")) or (unseen, -1)
-        total += step[0]
-        at = step[1]
-    return total + ends.get(at, unseen)
+    for c, p in zip(value, chances):
+        n, to = steps.get((at, c), (0, at))
+        total += math.log((n / p + SHRINK) / (seen[at] + SHRINK))
+        at = to
+    return total + math.log((stops[at] / chances[-1] + SHRINK) / (seen[at] + SHRINK))
+
+
+def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(kind, value, n): values of at most LONGEST code points by kind, and under no kind the pairs of characters of all other tokens."""
 
+    def pairs(tokens: Counter) -> Counter:
+        out = Counter()
+        for value, n in tokens.items():
+            for a, b in zip(EDGE + value, value + EDGE):
+                out[a + b] += n
+        return out
 
-def scanned(text: Column) -> Column:
-    @F.arrow_udf(SCAN_DDL)
-    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(kinds: list, values: list, times: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(times, pa.int64())], ["kind", "value", "n"])
+
+        runs, tokens = Counter(), Counter()
         for batch in batches:
-            yield pa.array((scan(t.as_py()) for t in batch), SCAN)
+            values = Counter()
+            for text in batch.column(0).to_pylist():
+                base, rest = scan(text)
+                values.update((kind, value) for kind, *_, value in base if len(value) <= LONGEST)
+                tokens.update(value for *_, value in rest)
+                if len(tokens) > 100_000:
+                    runs += pairs(tokens)
+                    tokens.clear()
+            yield rows([k for k, _ in values], [v for _, v in values], list(values.values()))
+        runs += pairs(tokens)
+        yield rows([""] * len(runs), list(runs), list(runs.values()))
+
+    texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    return texts.mapInArrow(count, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+
 
-    return spans(F.coalesce(text.cast("string"), F.lit("")))
+def formats(docs: DataFrame, text_col: str = "text") -> tuple[list[Format], Background]:
+    """Automata of the kinds, each from at most FIT distinct values, the smallest by hash, and the background of all other tokens."""
+    there = written(counted(docs, text_col), "secret-counts")
 
+    def sample(kind: str) -> list[str]:
+        return [r.value for r in there.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(FIT).select("value").collect()]
 
-def formats(rows: DataFrame) -> tuple[list, object]:
-    """Automata of the kinds and of the background, each from at most FIT distinct values, the smallest by hash."""
+    fitted = [Automaton(v).frozen() for v in map(sample, KINDS) if v]
+    runs = {r.value: r.n for r in there.filter("kind = ''").select("value", "n").collect()}  # at most 69 times 69 pairs
+    return fitted, Background(runs)
 
-    def sample(values: DataFrame) -> list[str]:
-        return [r.value for r in values.groupBy("value").agg(F.count("*")).orderBy(F.xxhash64("value"), "value").limit(FIT).select("value").collect()]
 
-    found = rows.select(F.explode("base").alias("b")).select("b.kind", F.left("b.value", F.lit(256)).alias("value"))
-    fitted = [Automaton(v).frozen() for v in (sample(found.filter(F.col("kind") == k).select("value")) for k in KINDS) if len(v) >= LEAST]
-    rest = sample(rows.select(F.explode("rest").alias("r")).select(F.left("r.value", F.lit(256)).alias("value"))) if fitted else []
-    return fitted, Automaton(rest).frozen()
+class Judge(dict):
+    """Whether a token is a secret by the formats; a bounded cache of short tokens."""
+
+    def __init__(self, fitted: list[Format], background: Background):
+        super().__init__()
+        self.fitted, self.background = fitted, background
+
+    def __missing__(self, value: str) -> bool:
+        chances = self.background.chances(value)
+        found = any(evidence(m, value, chances) >= EVIDENCE for m in self.fitted)
+        if len(value) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[value] = found
+        return found
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: id, base (kind, start, end, value) and inferred (start, end), both by start; whole texts.
 
-    A null text is empty and has none; null ids stay null; repeated rows are searched each. Where patterns find less than
-    LEAST values of each kind there is no format and nothing is inferred. No rows give no rows; further columns
-    are not read. Automata are fitted to the first 256 code points of the sampled values, but score whole tokens.
+    A null text is empty and has none; null ids stay null; repeated rows are searched each. Where patterns find nothing
+    there is no format and nothing is inferred. No rows give no rows; further columns are not read. Texts are scanned
+    twice, so that no tokens are ever written: once to count, once to find and score.
     """
-    rows = written(docs.select(docs[id_col].alias(id_col), scanned(docs[text_col]).alias("s")).select(id_col, "s.base", "s.rest"), "secrets")
-    models = docs.sparkSession.sparkContext.broadcast(formats(rows))  # bounded by FIT values a kind
-
-    @F.arrow_udf("array<struct<start: bigint, end: bigint>>")
-    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        fitted, background = models.value
-
-        def secret(value: str) -> bool:
-            return max(likelihood(m, value) for m in fitted) - likelihood(background, value) >= EVIDENCE
+    models = docs.sparkSession.sparkContext.broadcast(formats(docs, text_col))  # bounded by FIT * LONGEST states a kind and 69 * 69 pairs
 
+    @F.arrow_udf(FOUND_DDL)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge = Judge(*models.value)
         for batch in batches:
-            kept = ([{"start": r["start"], "end": r["end"]} for r in rest if secret(r["value"])] if fitted else [] for rest in batch.to_pylist())
-            yield pa.array(kept, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-
-    return rows.select(id_col, "base", judged("rest").alias("inferred"))
+            out = []
+            for text in batch:
+                base, rest = scan(text.as_py())
+                kept = [{"start": a, "end": b} for a, b, value in rest if judge[value]]
+                out.append({"base": [dict(zip(("kind", "start", "end", "value"), b)) for b in base], "inferred": kept})
+            yield pa.array(out, FOUND)
+
+    rows = docs.select(docs[id_col].alias(id_col), found(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("s"))
+    return rows.select(id_col, "s.base", "s.inferred")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -53,15 +53,47 @@ def test_secrets(spark, odd_rows, empty):
     assert secrets.digest(secrets.find_secrets(empty)).count() == 0
 
 
+def pairs(tokens):
+    return Counter(a + b for t in tokens for a, b in zip("\n" + t, t + "\n"))
+
+
+def test_what_findings_leave_of_tokens():
+    text = "leftover/token=abcdefgh1 x 0123456789abcdef0123456789abcdef-restOfIt shorter plainword"
+    base, rest = secrets.scan(text)
+    assert [(k, text[a:b]) for k, a, b, _ in base] == [("assign", "token=abcdefgh1"), ("hex", "0123456789abcdef0123456789abcdef")]
+    assert [v for *_, v in rest] == ["leftover/", "-restOfIt", "plainword"]
+    assert all(text[a:b] == v for a, b, v in rest)
+
+
+def test_background_counts_every_other_token(spark, odd_rows, empty):
+    rows = secret_rows(odd_rows)
+    got = {r.value: r.n for r in secrets.counted(spark.createDataFrame(rows, SCHEMA).repartition(3)).filter("kind = ''").collect()}
+    assert got == pairs([v for _, t, *_ in rows for *_, v in secrets.scan(t or "")[1]])
+    assert secrets.counted(empty).count() == 0
+
+
+def test_few_values_make_a_format(spark):
+    """One long value, however often it is repeated, is found where no name stands before it; ordinary words are not."""
+    value = "9f3a77c0d1e2b4586a90z8y7x6w5v4u3t2s1r0q9"
+    rows = [(k, f"{prose(k, 40)} token={value} understanding government", 0, 0, "", 0.0) for k in range(30)] + [(99, f"some words {value} and elsewhere", 0, 0, "", 0.0)]
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.inferred] for r in secrets.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**{k: [] for k in range(30)}, 99: [(11, 51)]}
+
+
 def test_automata_tell_formats_apart():
     r = random.Random(2)
     hexes = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(200)]
     words = ["".join(r.choices("etaoinshr", k=r.randint(16, 24))) for _ in range(200)]
-    a, b = secrets.Automaton(hexes[:150]).frozen(), secrets.Automaton(words[:150]).frozen()
+    a, b = secrets.Automaton(hexes[:150]).frozen(), secrets.Background(pairs(words[:150]))
     for v in hexes[150:]:
-        assert secrets.likelihood(a, v) - secrets.likelihood(b, v) > secrets.EVIDENCE
+        assert secrets.evidence(a, v, b.chances(v)) > secrets.EVIDENCE
     for v in words[150:]:
-        assert secrets.likelihood(a, v) - secrets.likelihood(b, v) < -secrets.EVIDENCE
+        assert secrets.evidence(a, v, b.chances(v)) < -secrets.EVIDENCE
+    single = secrets.Automaton(hexes[:1]).frozen()
+    assert all(secrets.evidence(single, v, b.chances(v)) < 0 for v in words[150:])
+    assert secrets.evidence(single, hexes[0], b.chances(hexes[0])) > secrets.EVIDENCE
+    for before in ("\n", "e", "Z"):
+        assert sum(b.chance(before, c) for c in secrets.CHARACTERS + "\n") == pytest.approx(1)
     few = secrets.Automaton(["ab", "abab", "ababab"] * 20)
     assert sum(bool(few._seen(k)) for k in range(len(few.next))) >= 2
 
