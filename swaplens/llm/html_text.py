@@ -23,6 +23,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("script style noscript template iframe object svg canvas head title nav footer aside button select textarea input dialog audio video menu".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 NOISE = frozenset(
@@ -194,7 +195,7 @@ def density_of(c: int, n: int, lc: int, ln: int, share: float) -> float:
 
 
 def densities(t: Tree) -> tuple[list[float], list[float], list[bool], list[tuple[int, float, str]]]:
-    """Of each element: its composite density, the sum of its children's, and whether it can hold blocks.
+    """Of each element: its composite density, the sum of its children's, and whether it holds blocks (if none does: is one).
 
     And the blocks: the element each stands in, its density and text. A block beside other blocks is a child of its element; its line
     breaks are no tags, as a paragraph's ends are none.
@@ -236,14 +237,15 @@ def densities(t: Tree) -> tuple[list[float], list[float], list[bool], list[tuple
             total[home] += own
         blocks.append((home, own, text))
     t.chars, t.tags, t.link_chars, t.link_tags = c, n, lc, ln
-    return density, total, block, blocks
+    return density, total, mixed if any(mixed) else block, blocks
 
 
 def extract(html: str) -> str:
     """The main text: its blocks in page order, one on a line, white space inside a block turned into one space.
 
-    Where no article or main is marked, an element that reaches the threshold gives its part of largest sum, and besides every block
-    standing in it that reaches the threshold itself. Nothing goes from the chosen element (the article, main or best part);
+    Only sums of densities choose, among the elements that hold blocks; an article or main goes before others of an equal sum, and when the
+    choice is made what surrounds the chosen element in its own article belongs to it. Other parts
+    that reach the threshold give their element of largest sum, and every block standing in them that reaches it. Nothing goes from the chosen element;
     outside of it lists, tables and sections of three links or more with over 60 % linked characters are menus and go.
     """
     t = Tree()
@@ -254,35 +256,52 @@ def extract(html: str) -> str:
     for k in range(len(t.tag)):
         if t.dropped[k]:
             t.chars[k] = t.tags[k] = t.link_chars[k] = t.link_tags[k] = 0
-    density, total, block, blocks = densities(t)
+    density, total, holds, blocks = densities(t)
     if not any(total):
         return "\n".join(text for *_, text in blocks)
-    best = max((k for k in range(len(total)) if block[k]), key=lambda k: (total[k], -k))
+    best = max((k for k in range(len(total)) if holds[k]), key=lambda k: (total[k], t.tag[k] in ("article", "main"), -k))
     path = [best]
     while t.parent[path[-1]] >= 0 and t.tag[path[-1]] != "body":
         path.append(t.parent[path[-1]])
-    whole = next((k for name in ("article", "main") for k in reversed(path) if t.tag[k] == name), None)
-    kept, reached, least = [False] * len(total), [False] * len(total), 0.0
-    if whole is not None:
-        kept[whole] = True
-    else:
-        least = min(density[k] for k in path)
-        top = list(range(len(total)))  # in each subtree, the element of largest sum
-        for k in range(len(total) - 1, 0, -1):
-            if block[top[k]] and total[top[k]] > total[top[t.parent[k]]]:
-                top[t.parent[k]] = top[k]
-        for k in range(path[-1], len(total)):
-            if density[k] and density[k] >= least and (k == path[-1] or reached[t.parent[k]]):
-                reached[k] = True
-                kept[top[k] if total[top[k]] > 0 else k] = True
-    chosen = best if whole is None else whole
-    above, inside = set(path[path.index(chosen) :]), [k == chosen for k in range(len(total))]
+    kept, reached = [False] * len(total), [False] * len(total)
+    least = min(density[k] for k in path)
+    top = [k if holds[k] else -1 for k in range(len(total))]  # in each subtree, the element of largest sum that holds blocks
+    for k in range(len(total) - 1, 0, -1):
+        up = t.parent[k]
+        if top[k] >= 0 and (top[up] < 0 or total[top[k]] > total[top[up]]):
+            top[up] = top[k]
+    for k in range(path[-1], len(total)):
+        if density[k] and density[k] >= least and (k == path[-1] or reached[t.parent[k]]):
+            reached[k] = True
+            kept[top[k] if top[k] >= 0 and total[top[k]] > 0 else k] = True
+    above, inside = set(path), [k == best for k in range(len(total))]
     listing = [k not in above and t.tag[k] in LISTS and t.link_tags[k] >= 3 and t.link_chars[k] > 0.6 * t.chars[k] for k in range(len(total))]
     for k in range(1, len(kept)):
         kept[k] = kept[k] or kept[t.parent[k]]
         inside[k] = inside[k] or inside[t.parent[k]]
         listing[k] = not inside[k] and (listing[k] or listing[t.parent[k]])
-    return "\n".join(text for home, own, text in blocks if (kept[home] or reached[home] and own and own >= least) and not listing[home])
+    chosen = [(kept[home] or reached[home] and bool(own) and own >= least) and not listing[home] for home, own, _ in blocks]
+    return "\n".join(text for (*_, text), keep in zip(blocks, completed(t, blocks, chosen, reached, listing, path)) if keep)
+
+
+def completed(t: Tree, blocks: list[tuple[int, float, str]], chosen: list[bool], reached: list[bool], listing: list[bool], path: list[int]) -> list[bool]:
+    """Also the blocks too short for a density of their own: those between chosen ones in a part that reaches the threshold, headings
+    right before chosen ones, and what else stands in the article or main around the best element (`path`, from it to the body)."""
+    around = next((k for k in path if t.tag[k] in ("article", "main")), None)
+    part = [-1] * len(t.tag)  # the nearest element around that reaches the threshold
+    marked = [k == around for k in range(len(t.tag))]
+    for k in range(len(t.tag)):
+        up = t.parent[k]
+        part[k] = k if reached[k] else part[up] if up >= 0 else -1
+        marked[k] = marked[k] or up >= 0 and marked[up]
+    there = [k for k, keep in enumerate(chosen) if keep]
+    out = chosen[:]
+    for k in range(len(blocks) - 1, -1, -1):
+        home = blocks[k][0]
+        between = bool(there) and there[0] < k < there[-1] and part[home] >= 0 and (part[home] != path[-1] or path[0] == path[-1])
+        heads = t.tag[home] in HEADINGS and k + 1 < len(blocks) and out[k + 1]
+        out[k] = out[k] or not listing[home] and (between or heads or marked[home])
+    return out
 
 
 def main_text(html: Column) -> Column:

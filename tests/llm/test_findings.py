@@ -206,6 +206,26 @@ def test_text_beside_blocks_is_kept(aside, wrap):
         assert all(" ".join(x.split()) in got for x in (*lines, *quotes))
 
 
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>", "%s"])
+def test_short_blocks_around_a_long_section_are_kept(wrap):
+    long = ["".join(f"<p>{prose(20 * j + k, 40)}</p>" for k in range(8)) for j in range(2)]
+    page = f"<h1>On it</h1><section><h2>One</h2>{long[0]}</section><h2>Two</h2><section>{long[1]}</section>"
+    got = html_text.extract(PAGE % (wrap % page)).split("\n")
+    assert [x for x in got if len(x) < 10] == ["On it", "One", "Two"] and len(got) == 19
+
+
+def test_sums_of_densities_choose_among_articles():
+    teasers = "".join(f"<article><h2>Teaser {k}</h2><p>Read more of it.</p></article>" for k in range(6))
+    for tag in ("article", "div"):
+        got = html_text.extract(f"<html><body><div>{teasers}</div><{tag}>{BODY}</{tag}></body></html>")
+        assert TEXT in got and got.endswith(TEXT)
+
+
+def test_given_pages_need_no_article_tags(spark):
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert pages and all(html_text.extract(p) == html_text.extract(re.sub(r"(?i)(</?)(article|main)\b", r"\1div", p)) for p in pages)
+
+
 def test_inline_elements_do_not_hide_their_block():
     bold = "<br>".join(f"<b>{prose(k, 20)}</b>" for k in range(10))
     got = html_text.extract(f"<html><body><div><font>{bold}</font></div><p>end</p></body></html>")
