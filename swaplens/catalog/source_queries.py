@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS
 from ..session import run_folder
-from ..sources import files
+from ..sources import files, snapshots
 from .base import BARS, KEY, NUM, bars, register
 from .trade_queries import WALK, WALKED, don_runs, frame_sql, learned_runs, pair_trades, scan_sql
 
@@ -105,6 +105,21 @@ register("s5_reference_series", f"{KEY} date:t value:d", reference_back, BARS,
          "SELECT market, symbol, date, close AS value FROM bars WHERE day(date) > 2")
 register("s6_stored_bytes", f"{KEY} digest:s bytes:i", stored_files, BARS,
          "SELECT market, symbol, sha256(string_agg(date::VARCHAR || chr(10), '' ORDER BY date)) AS digest, 11 * count(*) AS bytes FROM bars GROUP BY market, symbol")
+def manifest_commits(spark, d):
+    """Bars per instrument, committed, rewritten at their own path by an upsert, and kept through a commit that fails."""
+    folder = new_folder(spark)
+    counted = bars(spark, d).groupBy(F.concat_ws("~", "market", "symbol").alias("file")).agg(F.count(F.lit(1)).alias("bytes"))
+    first = snapshots.commit(counted, folder)
+    snapshots.rewrite(spark, folder, lambda old: files.upsert_manifest(old, old.where("file LIKE '%1'").withColumn("bytes", F.col("bytes") * 10)))
+    try:
+        snapshots.commit(counted.where("false"), folder, after=first)
+    except snapshots.Conflict:
+        return snapshots.current(spark, folder)
+    raise AssertionError("a commit that came too late was taken")
+
+
+register("s7_manifest_commits", "file:s bytes:i", manifest_commits, BARS + "f AS (SELECT market || '~' || symbol AS file, count(*) AS bytes FROM bars GROUP BY 1)",
+         "SELECT file, CASE WHEN file LIKE '%1' THEN bytes * 10 ELSE bytes END AS bytes FROM f")
 register("s8_s9_trades_written_and_read", WALKED, trades_back, frame_sql() + scan_sql(don_runs("control") + learned_runs("scored", "don")) + WALK,
          "SELECT * FROM walked")
 register("s10_csv_sink", f"{KEY} date:t close:d", csv_back, BARS, "SELECT * FROM bars")
