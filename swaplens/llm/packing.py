@@ -25,6 +25,7 @@ from swaplens.llm.common import keyed_text, numbered, written
 ROUNDS = 24  # pricing steps of the program
 STEP = 0.5  # share of what is left that a step may cover
 EDGE = 1 / 64  # weight of the multiplicative weights beside the filled room
+CACHED = 200_000  # pieces a worker keeps; about 45 MB, since they stay there through the other stages of a pipeline
 
 
 def _knapsack(lengths: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
@@ -161,7 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str
     schema = pa.schema([(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * keep_ids)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = V.word_encoder(tokenizer)
+        coder = V.word_encoder(tokenizer, CACHED)
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), coder(batch.column(1).to_pylist())):

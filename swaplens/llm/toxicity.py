@@ -58,6 +58,9 @@ def features(word: bytes) -> list[bytes]:
     return [word, *(b"\0" + text[:n].encode() for n in STEMS if len(text) > n)]
 
 
+CACHED = 100_000  # words a worker keeps the score of; about 20 MB
+
+
 class Scores(dict):
     """Scores of words by a cache; unknown words take that of their longest known beginning."""
 
@@ -69,7 +72,7 @@ class Scores(dict):
         score = self.known.get(word)
         if score is None:
             score = next((self.known[f] for f in features(word)[:0:-1] if f in self.known), 0.0)
-        if len(self) >= 500_000:
+        if len(self) >= CACHED:
             self.clear()
         self[word] = score
         return score

@@ -87,9 +87,9 @@ class Known(dict):
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, cached: int = CACHED) -> WordEncoder:
     """The one of this worker: its cache outlives the task, so that later tasks encode only words that are new to it."""
-    return WordEncoder(path)
+    return WordEncoder(path, cached)
 
 
 class WordEncoder:
