@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, by_instrument, no_nan
@@ -25,34 +23,48 @@ def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)\.[^/]*$", 1)
 
 
-def read_bars(spark: SparkSession, path: str, market: str | None = None, symbols: Sequence[str] | None = None) -> DataFrame:
-    """A directory of OHLC CSV files (optionally gzip), one per instrument named by the file.
+def in_folder(key: str) -> Column:
+    """Name of an instrument whose files lie in a folder ``<key>=<name>``, as Spark's own writers lay them out."""
+    return F.url_decode(F.regexp_extract(F.input_file_name(), f"/{key}=([^/]+)/", 1))
+
+
+def read_bars(spark: SparkSession, path: str, market: str | None = None, symbols: Sequence[str] | DataFrame | None = None,
+              name: Column | None = None) -> DataFrame:
+    """A directory of OHLC CSV files (optionally gzip), one per instrument named by the file, or by ``name``.
 
     Header names are matched without case, because some files write ``Open`` and some
-    ``open``; a file without volume gets NULL. Files are grouped by their header line and each
-    group is read with its own columns. Only the files of ``symbols`` are listed. Of rows
+    ``open``; a file without volume gets NULL. Every file is read with its own header, which meets its rows in the task
+    that holds the instrument: no list of files passes through the driver. Of a sequence of ``symbols`` only the files are
+    listed; a table with a column ``symbol``, for long lists, is joined. Of rows
     repeated for a day the last one stays. Raises when there is nothing to read.
     """
-    pick = spark.read if symbols is None else spark.read.option(
+    few = symbols is not None and not isinstance(symbols, DataFrame)
+    pick = spark.read if not few else spark.read.option(
         "pathGlobFilter", "{" + ",".join(re.sub(r"([\\*?\[\]{},])", r"\\\1", s) + ".*" for s in symbols) + "}")
-    lines = pick.text(path).select(F.regexp_replace(F.lower("value"), r'[\s"\x{FEFF}]', "").alias("header"), F.input_file_name().alias("file"))
-    found = lines.where(F.col("header").rlike("(^|,)date(,|$)") & F.col("header").rlike("(^|,)close(,|$)"))
-    groups = found.groupBy("header").agg(F.sort_array(F.collect_set("file")).alias("files")).orderBy("header").collect()  # file names, as in any listing
-    if not groups:
+    line = _bare(F.col("value"))
+    found = pick.text(path).where(line.rlike("(^|,)date(,|$)") & line.rlike("(^|,)close(,|$)"))
+    width = found.agg(F.max(F.size(F.split(line, ",")))).first()[0]
+    if width is None:
         raise FileNotFoundError(f"no bar files under {path}")
-    parts = [_bars_of(spark, [unquote(f) for f in g["files"]], g["header"].split(","), market) for g in groups]
-    rows = by_instrument(reduce(DataFrame.unionByName, parts))
+    cells = [f"c{k}" for k in range(width)]
+    raw = pick.schema(", ".join(f"`{c}` string" for c in cells)).csv(path)
+    rows = raw.select(F.lit(market or "market").alias("market"), (F.url_decode(_stem(F.input_file_name())) if name is None else name).alias("symbol"),
+                      F.xxhash64(F.input_file_name()).alias("_file"), F.monotonically_increasing_id().alias("_order"), *cells)
+    if isinstance(symbols, DataFrame):
+        rows = rows.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select(*rows.columns)
+    names = F.array(*[_bare(F.coalesce(c, F.lit(""))) for c in cells])
+    header = F.when(F.array_contains(names, "date") & F.array_contains(names, "close"), F.struct("_order", names.alias("names")))
+    rows = by_instrument(rows).withColumn("_header", F.min(header).over(Window.partitionBy(*KEYS, "_file")))
+    rows = rows.where(header.isNull() & (F.col("_order") > F.col("_header._order")))
+    cell = lambda c: F.get(F.array(*cells), (F.array_position("_header.names", c) - 1).cast("int"))  # noqa: E731  a name that is missing: NULL
+    rows = rows.select(*KEYS, cell("date").alias("date"), *[cell(c).alias(c) for c in BAR_COLUMNS], "_order")
+    rows = rows.withColumns({"date": F.to_date(F.substring("date", 1, 10)), **{c: no_nan(F.expr(f"try_cast(`{c}` AS DOUBLE)")) for c in BAR_COLUMNS}})
     return rows.groupBy(*KEYS, "date").agg(*[F.max_by(c, "_order").alias(c) for c in BAR_COLUMNS])
 
 
-def _bars_of(spark: SparkSession, paths: list[str], names: list[str], market: str | None) -> DataFrame:
-    """Files that share the header ``names``, as bars with ``_order``, their place in the files."""
-    raw = spark.read.option("header", True).option("enforceSchema", True).schema(", ".join(f"`c{k}` string" for k in range(len(names)))).csv(paths)
-    at = {n: k for k, n in reversed(list(enumerate(names)))}
-    number = lambda c: no_nan(F.expr(f"try_cast(`c{at[c]}` AS DOUBLE)")) if c in at else F.lit(None).cast("double")
-    return raw.select(F.lit(market or "market").alias("market"), F.url_decode(_stem(F.input_file_name())).alias("symbol"),
-                      F.to_date(F.substring(f"c{at['date']}", 1, 10)).alias("date"), *[number(c).alias(c) for c in BAR_COLUMNS],
-                      F.monotonically_increasing_id().alias("_order"))
+def _bare(text: Column) -> Column:
+    """Header text without case, quotes, white space and byte order mark."""
+    return F.regexp_replace(F.lower(text), r'[\s"\x{FEFF}]', "")
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -115,10 +127,10 @@ def read_quotes(spark: SparkSession, path: str, market: str) -> DataFrame:
                       F.col("value").alias("payload"))
 
 
-def read_reference_series(spark: SparkSession, path: str) -> DataFrame:
-    """Two-column CSV ``date, value`` per series; unreadable or non-positive values are dropped."""
+def read_reference_series(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """Two-column CSV ``date, value`` per series, named by the file or by ``name``; unreadable or non-positive values are dropped."""
     df = spark.read.option("header", True).schema("date string, value string").csv(path)
-    df = df.select(_stem(F.input_file_name()).alias("series"), F.expr("try_cast(date AS DATE)").alias("date"),
+    df = df.select((_stem(F.input_file_name()) if name is None else name).alias("series"), F.expr("try_cast(date AS DATE)").alias("date"),
                    no_nan(F.expr("try_cast(value AS DOUBLE)")).alias("value"))
     return df.where(F.col("date").isNotNull() & (F.col("value") > 0))
 
