@@ -60,9 +60,8 @@ def study_trades(spark, d):
     return shared(spark, d, "study", build)
 
 
-def study_daily(spark, d):
-    """Daily values of what the jackknife compares; a row per instrument and day, so it is never written."""
-    return valuation.daily_values(analysis.main_or_control(study_trades(spark, d)), bars(spark, d), analysis.cost_column(CFG), analysis.TAGS)
+def left_out_instruments(spark, d):
+    return analysis.jackknife_instruments(scope(spark, d, False), study_trades(spark, d), bars(spark, d), CFG)
 
 
 def market_sums(spark, d):
@@ -247,7 +246,7 @@ sh AS (SELECT id, symbol, sqrt(252) * (coalesce(avg(coalesce(v, 0)) / nullif(std
 full_delta AS (SELECT id, sqrt(252) * (avg(v_ret) / stddev_samp(v_ret) - avg(b_ret) / stddev_samp(b_ret)) AS delta_full FROM ser GROUP BY id),
 """
 register("n10_leave_one_instrument_out", "strategy:s market:s freeze:s variant:s delta_full:d loo_min:d loo_max:d n_left_out:i sign_flips:i",
-         lambda s, d: analysis.jackknife_instruments(scope(s, d, False), study_daily(s, d), CFG), LOO_SQL, """
+         left_out_instruments, LOO_SQL, """
 SELECT t.strategy, t.market, t.fz AS "freeze", t.variant, any_value(delta_full) AS delta_full, min(delta) AS loo_min, max(delta) AS loo_max,
        count(*) AS n_left_out, count(*) FILTER (sign(delta) <> sign(delta_full)) AS sign_flips
 FROM sh JOIN mt t USING (id) JOIN full_delta USING (id) GROUP BY ALL""")
@@ -476,7 +475,7 @@ tested("r12_survivorship_split", "bias:s component:s median:d",
 
 
 def jackknives(spark, d):
-    return shared(spark, d, "jackknife", lambda: analysis.jackknife_instruments(scope(spark, d, False), study_daily(spark, d), CFG))
+    return shared(spark, d, "jackknife", lambda: left_out_instruments(spark, d))
 
 
 register("r13_jackknife_flip_share", "flip_share:d", lambda s, d: reports.jackknife_summary(jackknives(s, d), mk(tests(s, d))), LOO_SQL + """

@@ -18,7 +18,7 @@ from ..functions.indicators import TRADING_DAYS as P
 from ..operators.inference import block_bootstrap, paired_series, with_adjusted
 from ..operators.metrics import mtm_sharpe, portfolio_metrics, selection_decay, trade_metrics
 from ..operators.regimes import crisis_performance, regime_labels, regime_sharpes
-from ..operators.valuation import (daily_values, equal_weight, market_index, portfolio_totals, roll_up, with_positions)
+from ..operators.valuation import (equal_weight, left_out, market_index, portfolio_totals, roll_up, with_positions)
 from ..session import cut_lineage
 from .study import KIND, MAIN, StudyConfig
 
@@ -138,16 +138,8 @@ def _sharpe_of(s1: Column, s2: Column, n: Column) -> Column:
     return F.when(var > 1e-20, F.sqrt(F.lit(float(P))) * (s1 / n) / F.sqrt(var)).otherwise(0.0)
 
 
-def leave_one_out(p: Portfolios, parts: DataFrame, part_key: str) -> DataFrame:
-    """Sharpe difference of variant and control without each part (instrument or market).
-
-    Leaving a part out changes only the days the part has a bar. The sums of returns and
-    squares are corrected on those days, so the work is one join of the parts with their
-    totals, not a copy of every series per part. A part that the control never traded leaves
-    the control unchanged.
-    """
-    main = p.tests.where(F.col("family") == "main")
-    full = _moments(pairs(p, main), TEST, "")
+def shifts(p: Portfolios, parts: DataFrame, part_key: str) -> DataFrame:
+    """Changes of the sums of returns and squares where a part is left out: one join of the parts with their totals, no copy of every series per part."""
     on = ["strategy", "market", "freeze", "variant", "date"]
     total = equal_weight(p.sums).select(*on, F.col("ret").alias("whole"))
     whole_sums = F.broadcast(p.sums.select(*on, "gross", "cost", "n").join(total, on))  # a row per series and date
@@ -155,9 +147,19 @@ def leave_one_out(p: Portfolios, parts: DataFrame, part_key: str) -> DataFrame:
     rest = parts.select(*on, part_key, *p_cols).join(whole_sums, on)
     n = F.greatest(F.col("n") - F.col("_n"), F.lit(1))
     rest = rest.withColumn("without", ((F.col("gross") - F.col("_gross")) - (F.col("cost") - F.col("_cost"))) / n)
-    shift = rest.groupBy("strategy", "market", "freeze", "variant", part_key).agg(
+    return rest.groupBy("strategy", "market", "freeze", "variant", part_key).agg(
         F.sum(F.col("without") - F.col("whole")).alias("d1"),
         F.sum(F.col("without") ** 2 - F.col("whole") ** 2).alias("d2"))
+
+
+def leave_one_out(p: Portfolios, shift: DataFrame, part_key: str) -> DataFrame:
+    """Sharpe difference of variant and control without each part (instrument or market).
+
+    Leaving a part out changes only the days the part has a bar; ``shift`` is what it changes in the sums of returns and
+    squares of each series. A part that the control never traded leaves the control unchanged.
+    """
+    main = p.tests.where(F.col("family") == "main")
+    full = _moments(pairs(p, main), TEST, "")
     k = ["strategy", "market", "freeze"]
     v = shift.join(main.select(*TEST, "control"), TEST)
     b = shift.select(*k, F.col("variant").alias("control"), part_key, F.col("d1").alias("b1"), F.col("d2").alias("b2"))
@@ -170,10 +172,12 @@ def leave_one_out(p: Portfolios, parts: DataFrame, part_key: str) -> DataFrame:
     return both.select(*TEST, part_key, whole.alias("delta_full"), (sv - sb).alias("delta"))
 
 
-def jackknife_instruments(p: Portfolios, daily: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Range of the Sharpe difference over left-out instruments and how often its sign flips."""
-    parts = in_freezes(daily, cfg).withColumn("n", F.lit(1))
-    loo = leave_one_out(p, parts, "symbol")
+def jackknife_instruments(p: Portfolios, trades: DataFrame, bars: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Range of the Sharpe difference over left-out instruments and how often its sign flips.
+
+    ``trades`` as the walk-forward tags them; instruments are valued and left out where their bars are.
+    """
+    loo = leave_one_out(p, left_out(main_or_control(trades), bars, cost_column(cfg), main_or_control(p.sums)), "symbol")
     return loo.groupBy(*TEST).agg(
         F.first("delta_full").alias("delta_full"), F.min("delta").alias("loo_min"), F.max("delta").alias("loo_max"),
         F.count(F.lit(1)).alias("n_left_out"),
@@ -185,7 +189,7 @@ def jackknife_markets(p: Portfolios, market_sums: DataFrame, cfg: StudyConfig) -
     parts = in_freezes(market_sums, cfg).withColumnRenamed("market", "part").withColumn("market", F.lit("ALL"))
     k = ["strategy", "freeze", "part"]
     ctl = parts.where(F.col("variant") == "baseline").select(*k).distinct()
-    loo = leave_one_out(p, parts.join(ctl, k, "left_semi"), "part")
+    loo = leave_one_out(p, shifts(p, parts.join(ctl, k, "left_semi"), "part"), "part")
     return loo.select("strategy", F.col("part").alias("market"), "freeze", "variant", "delta_full",
                       F.col("delta").alias("delta_without_market"), F.lit("global_minus_market").alias("scope"))
 
@@ -228,7 +232,6 @@ def analyze(trades: DataFrame, bars: DataFrame, cfg: StudyConfig) -> dict[str, D
     """Every result table of the study. Trades and bars should come from written tables."""
     spark = trades.sparkSession
     placed = with_positions(trades, bars)
-    daily = daily_values(main_or_control(placed), bars, cost_column(cfg), TAGS)
     market_sums = cut_lineage(portfolio_totals(placed, bars, cost_column(cfg), TAGS))
     world_sums = roll_up(market_sums, TAGS)
     mk, gl = portfolios(market_sums, trades, cfg, False), portfolios(world_sums, trades, cfg, True)
@@ -240,7 +243,7 @@ def analyze(trades: DataFrame, bars: DataFrame, cfg: StudyConfig) -> dict[str, D
     baseline = trades.where(F.col("variant") == "baseline")
     return {
         "tests": tests,
-        "jackknife": jackknife_instruments(mk, daily, cfg).unionByName(
+        "jackknife": jackknife_instruments(mk, placed, bars, cfg).unionByName(
             jackknife_markets(gl, market_sums, cfg), allowMissingColumns=True),
         "cost_sensitivity": cost_sensitivity(gl, cfg),
         "is_oos_decay": selection_decay(baseline),
